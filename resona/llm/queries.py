@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, sharding, simhash, substrings, toxicity
+from . import licenses, media, mixing, packing, quality, search, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,12 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeats(table(spark, sf_dir, "documents"))
 
 
+def op8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 100 as a query against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return search.top_k(docs, search.every_hundredth(docs))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,7 +56,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_mixing, op3_simhash, op4_toxicity, op6_sharding, op7_repeats, op9_packing, op10_quality)
+    f.__name__: f for f in (
+        op1_mixing, op2_media, op3_simhash, op4_toxicity, op5_licenses, op6_sharding, op7_repeats, op8_search, op9_packing, op10_quality,
+    )
 }
 
 #: DuckDB SQL for the queries that SQL expresses; the others are tested against brute force in tests/llm.
