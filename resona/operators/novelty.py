@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _let(value, body):
+    """``body`` of a value that is worked out once, not once for each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def unit(e):
     """The vector over its Euclidean length, scaled by its largest component first."""
     top = F.array_max(F.transform(e, lambda x: F.abs(x)))
-    scaled = F.transform(e, lambda x: x / top)
-    norm = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(scaled, lambda x: x / norm)
+    scaled = _let(top, lambda t: F.transform(e, lambda x: x / t))
+    return _let(scaled, lambda s: _let(F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + x * x)), lambda n: F.transform(s, lambda x: x / n)))
 
 
 def dot(a, b):
