@@ -294,15 +294,22 @@ def runs(corpus: Corpus, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
         .select("at.k1", "at.k2", F.struct(F.col("at.run").alias("run"), F.least("w", F.lit(2)).alias("w")).alias("r"))
         .groupBy("k1", "k2").agg(F.collect_list("r").alias("runs"))  # as many as the text has anchors
     )
+    lists = Stored(lists, "open-runs")
+    twice = spans.df.filter("w > 1").select(F.col("gram").alias("g"), F.col("span").alias("s"))
+    start = F.shiftright("run", 16)
+    settled = found.df.join(twice, (F.col("gram") == F.col("g")) & (F.col("span") == F.col("s")), "left_semi")
+    settled = Stored(settled.select("k1", "k2", start.alias("a"), (start + F.col("run").bitwiseAND(F.lit(0xFFFF))).alias("b")), "settled-runs")
+    found.drop()
+    spans.drop()
+    release(corpus.spark)
     suffixes = Stored(
-        corpus.with_lists(lists, "inner").select("k1", "k2", "text", "runs").mapInArrow(_window_rows(length), "lead long, rest long, k1 long, place long"), "suffixes"
+        corpus.with_lists(lists.df, "inner").select("k1", "k2", "text", "runs").mapInArrow(_window_rows(length), "lead long, rest long, k1 long, place long"), "suffixes"
     )
     release(corpus.spark)
     single = sorted_repeats(suffixes.df).select("k1", "k2", F.col("p").alias("a"), F.col("p").alias("b"))
-    twice = spans.df.filter("w > 1").select(F.col("gram").alias("g"), F.col("span").alias("s"))
-    settled = found.df.join(twice, (F.col("gram") == F.col("g")) & (F.col("span") == F.col("s")), "left_semi")
-    start = F.shiftright("run", 16)
-    return settled.select("k1", "k2", start.alias("a"), (start + F.col("run").bitwiseAND(F.lit(0xFFFF))).alias("b")).unionByName(single)
+    suffixes.drop()
+    release(corpus.spark)
+    return settled.df.unionByName(single)
 
 
 def _covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
