@@ -15,9 +15,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from .labelled import fold, training_rows
 
@@ -172,12 +174,9 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, all columns, that score at least CUT."""
     ranker = train(docs, labels)
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
     @pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         f = np.array([features(t) for t in texts], dtype=float).reshape(-1, len(NAMES))
         return pd.Series(ranker.score(f))
 
-    return docs.withColumn("_score", of(F.col("text").cast("string"))).filter(F.col("_score") >= CUT).select(*docs.columns)
+    return docs.withColumn("__score", of(F.col("text").cast("string"))).filter(F.col("__score") >= CUT).select(*docs.columns)
