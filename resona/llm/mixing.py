@@ -170,6 +170,10 @@ def mix(
 
 def mixed_documents(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
     """The documents, all columns, partitioned and sorted in the order of the mix."""
-    carried = tuple(c for c in docs.columns if c not in ("doc_id", "source"))
-    placed = mix(docs, weights, payload=carried)
-    return placed.repartitionByRange("position").sortWithinPartitions("position").select(*docs.columns)
+    carried = [c for c in docs.columns if c not in ("doc_id", "source")]
+    # carried columns travel under numbers, as they may share a name with the plan's
+    named = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)])
+    placed = mix(named, weights, payload=tuple(f"__c{i}" for i in range(len(carried))))
+    ordered = placed.repartitionByRange("position").sortWithinPartitions("position")
+    back = {c: F.col(f"__c{i}").alias(c) for i, c in enumerate(carried)}
+    return ordered.select(*[back.get(c, F.col(c)) for c in docs.columns])

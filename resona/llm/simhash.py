@@ -195,9 +195,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     keep = (
         classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root").agg(first.alias("k"), F.first("doc_id").alias("d"))
-        .select(F.col("d").alias("_d"), F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"))
+        .select(F.col("d").alias("__keep_id"), F.col("k.k1").alias("__keep1"), F.col("k.k2").alias("__keep2"))
     )
     k1, k2 = text_key()
-    keyed = docs.withColumns({"_r1": k1, "_r2": k2})
-    same = (F.col("_r1") == F.col("_k1")) & (F.col("_r2") == F.col("_k2")) & F.col("doc_id").eqNullSafe(F.col("_d"))
-    return keyed.join(keep, same, "left_semi").dropDuplicates(["_r1", "_r2", "doc_id"]).select(*docs.columns)
+    keyed = docs.withColumns({"__doc1": k1, "__doc2": k2})
+    same = (F.col("__doc1") == F.col("__keep1")) & (F.col("__doc2") == F.col("__keep2")) & F.col("doc_id").eqNullSafe(F.col("__keep_id"))
+    return keyed.join(keep, same, "left_semi").dropDuplicates(["__doc1", "__doc2", "doc_id"]).select(*docs.columns)
