@@ -396,11 +396,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     Cuts shrink to whole characters.  A document that is repeated whole keeps
     its row with an empty text; null text stays null.
     """
-    cut = _removals(docs, length, gram, True).filter("n_spans > 0").select("k1", "k2", "kept")
+    cut = _removals(docs, length, gram, True).filter("n_spans > 0").select(F.col("k1").alias("__cut1"), F.col("k2").alias("__cut2"), F.col("kept").alias("__kept"))
     k1, k2 = text_key()
-    joined = docs.withColumns({"_k1": k1, "_k2": k2}).join(cut, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left")
-    text = F.when(F.col("k1").isNotNull() & F.col("text").isNotNull(), F.col("kept")).otherwise(F.col("text"))
-    out = {"text": text}
+    keyed = docs.withColumns({"__doc1": k1, "__doc2": k2})
+    joined = keyed.join(cut, (F.col("__doc1") == F.col("__cut1")) & (F.col("__doc2") == F.col("__cut2")), "left")
+    changed = F.col("__cut1").isNotNull() & F.col("text").isNotNull()
+    out = {"text": F.when(changed, F.col("__kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        out["n_chars"] = F.when(F.col("k1").isNotNull(), F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
+        out["n_chars"] = F.when(changed, F.char_length("__kept").cast("long")).otherwise(F.col("n_chars"))
     return joined.withColumns(out).select(*docs.columns)
