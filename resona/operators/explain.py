@@ -69,7 +69,7 @@ def record(analysis: Mapping[str, Any]) -> dict[str, Any]:
         if s is not None and a is not None:
             windows.append({"start": a, "end": finite(w.get("end")), "score": s})
     windows.sort(key=lambda w: (-w["score"], w["start"]))
-    detectors = [k for k in ("window_scorer", "splice", "novelty", "cpps") if analysis.get(k) is not None] or ["window_scorer"]
+    detectors = ["window_scorer"] + [k for k in ("splice", "novelty", "cpps") if analysis.get(k) is not None]
     agree = "a single detector: agreement cannot be judged" if len(detectors) == 1 else "several detectors: compare their evidence"
     return bounded({
         "file": file, "score": score, "verdict": analysis.get("verdict"), "top_windows": windows[:WINDOWS], "metadata": analysis.get("metadata") or MISSING,
