@@ -13,6 +13,8 @@ the pieces of their length.
 from __future__ import annotations
 
 import bisect
+import struct
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator, Mapping
 
@@ -25,53 +27,101 @@ from .common import Stored, release, spread_rank
 
 CAPACITY = 2048
 END_ID = 0
-#: Chunks a worker remembers the ids of; forgotten ones are encoded again.
-REMEMBERED = 400_000
+#: Entries of either generation of a worker's memory of chunks and words; what is forgotten is encoded again.
+REMEMBERED = 300_000
+#: The word pattern of the tokenizer, applied to normalised text.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
 
+class _Memory:
+    """A mapping of bounded size: what is used stays, what was not used lately goes."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def get(self, key: str) -> bytes | None:
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value: bytes) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary.
+
+    Printable bytes stand for themselves; the others take letters from 256 on.
+    """
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in plain)
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to ids (little-endian unsigned 32-bit) under a tokenizer that never joins across white space.
+    """Text to ids (little-endian unsigned 32-bit) under a byte-level tokenizer of lower-cased words.
 
-    Ids of white-space separated chunks are remembered, so a chunk is encoded
-    once per worker.  Characters that Python and the tokenizer take for white
-    space differently send the whole text through the tokenizer.
+    Such a tokenizer never joins across white space, so ids of white-space
+    separated chunks, and of their words, are remembered by each worker.  Texts
+    with characters whose normal form, case or spacing Python may see
+    differently go through the tokenizer whole.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
+    import re
+
+    import regex
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[str, bytes] = {}
+    model = tokenizer.model
+    chunks, words = _Memory(REMEMBERED), _Memory(REMEMBERED)
+    letters = _byte_letters()
+    unusual = re.compile("[^\\x00-\\x1b\\x20-\u024f]|\u0130|<\\||\\x85|\\xa0")
+    split = regex.compile(WORDS).findall
+    pack_id = struct.Struct("<I").pack
 
     def encode(text: str) -> bytes:
-        ids = tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    odd = frozenset("\x1c\x1d\x1e\x1f")
+        return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def word(w: str) -> bytes:
+        ids = words.get(w)
+        if ids is None:
+            tokens = model.tokenize(w.encode("utf-8").decode("latin-1").translate(letters))
+            ids = b"".join([pack_id(t.id) for t in tokens])
+            if len(w) <= 64:
+                words.put(w, ids)
+        return ids
+
+    def chunk(c: str) -> bytes:
+        ids = chunks.get(c)
+        if ids is None:
+            if c.isalpha():
+                ids = word(c)
+            elif c[:-1].isalpha() and not c[-1].isnumeric():  # a word and one mark
+                ids = word(c[:-1]) + word(c[-1])
+            else:
+                ids = b"".join([word(w) for w in split(c)])
+            if len(c) <= 64:
+                chunks.put(c, ids)
+        return ids
 
     def whole(text: str) -> bytes:
-        if not odd.isdisjoint(text):
+        if unusual.search(text) or not unicodedata.is_normalized("NFC", text):
             return encode(text)
-        if text.isascii() and "<|" not in text:
-            text = text.lower()
-        chunks = text.split()
+        pieces = text.lower().split()
         try:
-            return b"".join([known[c] for c in chunks])
+            young = chunks.young
+            return b"".join([young[c] for c in pieces])
         except KeyError:
-            pass
-        out = []
-        for c in chunks:
-            ids = known.get(c)
-            if ids is None:
-                ids = encode(c)
-                if len(c) <= 64:
-                    if len(known) >= REMEMBERED:
-                        known.clear()
-                    known[c] = ids
-            out.append(ids)
-        return b"".join(out)
+            return b"".join([chunk(c) for c in pieces])
 
     _ENCODERS[path] = whole
     return whole
