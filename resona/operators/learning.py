@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import FusionModelError
@@ -19,7 +19,7 @@ from .validate import check_cv_table
 #: The logistic baseline and the boosted baselines.
 LOGISTIC = {"C": 1.0, "max_iter": 2000, "seed": 42}
 BOOSTED = {"maxDepth": 3, "maxIter": 200, "stepSize": 0.03, "minInstancesPerNode": 50, "seed": 42}
-BOOSTED_TRAINING = {"maxDepth": 6, "maxIter": 500, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+BOOSTED_TRAINING = {"maxDepth": 6, "maxIter": 500, "stepSize": 0.05, "minInstancesPerNode": 1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
 _P = "_probability"
 
 
@@ -55,6 +55,22 @@ class Logistic:
         return None
 
 
+    def save(self, path: str) -> None:
+        """The fitted model and its scaling."""
+        self.model.write().overwrite().save(path + "/model")
+        spark = SparkSession.getActiveSession()
+        rows = list(zip(range(len(self.features)), self.features, self.mean, self.scale, strict=True))
+        spark.createDataFrame(rows, "i int, feature string, mean double, scale double").coalesce(1).write.mode("overwrite").parquet(path + "/scaling")
+
+    @classmethod
+    def load(cls, path: str) -> Logistic:
+        out = cls()
+        rows = SparkSession.getActiveSession().read.parquet(path + "/scaling").orderBy("i").collect()
+        out.features, out.mean, out.scale = [r["feature"] for r in rows], [r["mean"] for r in rows], [r["scale"] for r in rows]
+        out.model = LogisticRegressionModel.load(path + "/model")
+        return out
+
+
 class Boosted:
     """Gradient-boosted trees; gain shares as importance."""
 
@@ -77,6 +93,18 @@ class Boosted:
         return dict(zip(self.features, self.model.featureImportances.toArray().tolist(), strict=True))
 
 
+    def save(self, path: str) -> None:
+        self.assembler.write().overwrite().save(path + "/assembler")
+        self.model.write().overwrite().save(path + "/model")
+
+    @classmethod
+    def load(cls, path: str) -> Boosted:
+        out = cls()
+        out.assembler, out.model = VectorAssembler.load(path + "/assembler"), GBTClassificationModel.load(path + "/model")
+        out.features = out.assembler.getInputCols()
+        return out
+
+
 def synthetic_probability(column: str = _P) -> Column:
     """Probability of class 1."""
     return F.element_at(vector_to_array(F.col(column)), 2)
