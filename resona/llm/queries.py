@@ -61,5 +61,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-#: DuckDB SQL for the queries that SQL expresses; the others are tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL expresses; the others are tested against brute force in tests/llm:
+#: SQL has no XXH64 or CRC-32, no tokenizer, compressor or image format, and fits no model.
+ORACLES: dict[str, str] = {
+    "op7_repeats": """
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT r, p, md5_number(substr(h, 2 * p + 1, 800)) AS k FROM (SELECT r, h, unnest(generate_series(0, len(h) // 2 - 400)) AS p FROM d WHERE len(h) >= 800)),
+    x AS (SELECT r, p FROM (SELECT *, count(*) OVER (PARTITION BY k) AS n FROM w) WHERE n > 1),
+    g AS (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM x),
+    i AS (SELECT r, s, min(p) AS a, max(p) + 400 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS s FROM g) GROUP BY r, s),
+    k AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM i)
+    SELECT any_value(d.doc_id) AS doc_id, any_value(len(h) // 2) AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans,
+        sha256(unhex(coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') || substr(any_value(h), CAST(2 * coalesce(max(b), 0) + 1 AS BIGINT)))) AS kept_sha256
+    FROM d LEFT JOIN k ON k.r = d.r GROUP BY d.r""",
+}
