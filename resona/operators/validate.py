@@ -47,48 +47,70 @@ def reject_duplicate_columns(columns: Sequence[str], context: str) -> None:
         raise FusionDataError(f"{context}: duplicate columns {', '.join(twice)}")
 
 
-def check_ids(df: DataFrame, column: str, context: str, error: type[DataContractError] = FusionDataError) -> None:
-    """The id column exists, is text, and every id is non-blank and unique."""
+def _blank(column: str) -> Column:
+    return F.col(column).isNull() | (F.trim(column) == "")
+
+
+def _check_id_column(df: DataFrame, column: str, context: str, error: type[DataContractError]) -> None:
     if column not in df.columns:
         raise error(f"{context}: no column {column!r}")
     if not isinstance(df.schema[column].dataType, T.StringType):
         raise error(f"{context}: {column!r} must be text")
-    blank = F.col(column).isNull() | (F.trim(column) == "")
-    if not df.filter(blank).isEmpty():
+
+
+def _name_ids(ids: DataFrame, what: str, error: type[DataContractError]) -> None:
+    """Raises an error that names the first few of ``ids``."""
+    first = [r[0] for r in ids.orderBy(ids.columns[0]).limit(_SHOWN).collect()]
+    raise error(f"{what}: {shown(first, ids.count())}")
+
+
+def check_ids(df: DataFrame, column: str, context: str, error: type[DataContractError] = FusionDataError) -> None:
+    """The id column exists, is text, and every id is non-blank and unique (one pass)."""
+    _check_id_column(df, column, context, error)
+    per = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    found = per.agg(F.count_if(_blank(column)).alias("blank"), F.count_if(F.col("_n") > 1).alias("twice")).first()
+    if found["blank"]:
         raise error(f"{context}: blank {column!r}")
-    twice = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    many = twice.count()
-    if many:
-        ids = [r[0] for r in twice.orderBy(column).limit(_SHOWN).collect()]
-        raise error(f"{context}: duplicate ids {shown(ids, many)}")
+    if found["twice"]:
+        _name_ids(per.filter("_n > 1").select(column), f"{context}: duplicate ids", error)
 
 
 def check_manifest(manifest: DataFrame) -> DataFrame:
-    """file_id, label (0/1), fold of a valid manifest; FusionDataError otherwise."""
+    """file_id, label (0/1), fold of a valid manifest, checked in one pass; FusionDataError otherwise."""
     reject_duplicate_columns(manifest.columns, "manifest")
     for c in FUSION_MANIFEST:
         if c not in manifest.columns:
             raise FusionDataError(f"manifest: no column {c!r}")
-    check_ids(manifest, "file_id", "manifest")
+    _check_id_column(manifest, "file_id", "manifest", FusionDataError)
     is_text = isinstance(manifest.schema["fold"].dataType, T.StringType)
-    blank = F.col("fold").isNull() | ((F.trim("fold") == "") if is_text else F.lit(False))
+    no_fold = _blank("fold") if is_text else F.col("fold").isNull()
     bad_type = isinstance(manifest.schema["label"].dataType, T.BooleanType)
     coded = manifest.withColumn("_label", F.lit(None).cast("tinyint") if bad_type else label_code("label"))
-    found = coded.agg(F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("folds"), F.count_if(F.col("_label").isNull()).alias("labels")).first()
+    per = coded.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n"), F.count_if(no_fold).alias("_f"), F.count_if(F.col("_label").isNull()).alias("_l"))
+    found = per.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(_blank("file_id")).alias("blank"), F.count_if(F.col("_n") > 1).alias("twice"), F.sum("_f").alias("folds"), F.sum("_l").alias("labels")
+    ).first()
     if not found["n"]:
         raise FusionDataError("manifest: no rows")
+    if found["blank"]:
+        raise FusionDataError("manifest: blank 'file_id'")
+    if found["twice"]:
+        _name_ids(per.filter("_n > 1").select("file_id"), "manifest: duplicate ids", FusionDataError)
     if found["folds"]:
         raise FusionDataError(f"manifest: {found['folds']} blank folds")
     if found["labels"]:
         raise FusionDataError(f"manifest: {found['labels']} unknown labels")
-    keep = [c for c in manifest.columns if c not in ("label",)]
-    return coded.select("file_id", F.col("_label").alias("label"), "fold", *[c for c in keep if c == "_ord"])
+    return coded.select("file_id", F.col("_label").alias("label"), "fold", *[c for c in manifest.columns if c == "_ord"])
 
 
 def check_feature_source(source: DataFrame, name: str, manifest: DataFrame, taken: Iterable[str]) -> list[str]:
-    """Feature columns of a source that fits the manifest one to one; FusionDataError otherwise."""
+    """Feature columns of a source that fits the manifest one to one; FusionDataError otherwise.
+
+    Coverage, uniqueness and finiteness come from one outer join of ids; ids are
+    looked up again only to be named in an error.
+    """
     reject_duplicate_columns(source.columns, name)
-    check_ids(source, "file_id", name)
+    _check_id_column(source, "file_id", name, FusionDataError)
     owned = sorted({"label", "fold"} & set(source.columns))
     if owned:
         raise FusionDataError(f"{name}: columns of the manifest {', '.join(owned)}")
@@ -98,17 +120,22 @@ def check_feature_source(source: DataFrame, name: str, manifest: DataFrame, take
     clash = sorted(set(features) & set(taken))
     if clash:
         raise FusionDataError(f"{name}: features already taken {', '.join(clash)}")
-    for context, left, right in (("missing", manifest, source), ("unknown", source, manifest)):
-        gap = left.select("file_id").join(right.select("file_id"), "file_id", "left_anti")
-        many = gap.count()
-        if many:
-            ids = [r[0] for r in gap.orderBy("file_id").limit(_SHOWN).collect()]
-            raise FusionDataError(f"{name}: {context} ids {shown(ids, many)}")
     text = [c for c in features if not isinstance(source.schema[c].dataType, T.NumericType)]
     if text:
         raise FusionDataError(f"{name}: not numeric {', '.join(text)}")
-    found = source.agg(*[F.count_if(not_finite(c)).alias(c) for c in features]).first().asDict()
-    wrong = [c for c in features if found[c]]
+    bad = [F.count_if(not_finite(c)).alias(f"_b{i}") for i, c in enumerate(features)]
+    have = source.groupBy("file_id").agg(F.count(F.lit(1)).alias("_n"), *bad)
+    both = manifest.select("file_id", F.lit(1).alias("_m")).join(have, "file_id", "full_outer")
+    found = both.agg(
+        F.count_if(F.col("_n").isNotNull() & _blank("file_id")).alias("blank"), F.count_if(F.col("_n") > 1).alias("twice"), F.count_if(F.col("_n").isNull()).alias("missing"),
+        F.count_if(F.col("_m").isNull()).alias("unknown"), *[F.sum(f"_b{i}").alias(f"_b{i}") for i in range(len(features))],
+    ).first()
+    if found["blank"]:
+        raise FusionDataError(f"{name}: blank 'file_id'")
+    for what, rows in (("twice", "_n > 1"), ("missing", "_n IS NULL"), ("unknown", "_m IS NULL")):
+        if found[what]:
+            _name_ids(both.filter(rows).select("file_id"), f"{name}: {'duplicate' if what == 'twice' else what} ids", FusionDataError)
+    wrong = [c for i, c in enumerate(features) if found[f"_b{i}"]]
     if wrong:
         raise FusionDataError(f"{name}: not finite {', '.join(wrong)}")
     return features
