@@ -44,6 +44,21 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("output")
     p.add_argument("--ensemble-weight", type=float, default=0.7)
 
+    p = sub.add_parser("train", help="train on a manifest, score its validation fold or a test directory, write score files")
+    p.add_argument("--manifest", required=True)
+    p.add_argument("--data-root", required=True)
+    p.add_argument("--output-prefix", required=True)
+    p.add_argument("--prefix", default="", help="path prefix of the manifest to replace by the data root")
+    p.add_argument("--test-dir")
+    p.add_argument("--val-fold", type=int, default=0)
+    p.add_argument("--no-val", action="store_true")
+    p.add_argument("--max-fake", type=int, default=0)
+    p.add_argument("--max-real", type=int, default=0)
+    p.add_argument("--components", type=int, default=512)
+    p.add_argument("--rounds", type=int, default=500)
+    p.add_argument("--embed", default="resona.operators.detectors:Spectrum")
+    p.add_argument("--cache")
+
     p = sub.add_parser("update-manifest", help="append new files to a manifest")
     p.add_argument("manifest")
     p.add_argument("directory")
@@ -92,6 +107,20 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
     elif args.command == "blend":
         mixed = blend(tables.read_headerless_scores(spark, args.main), tables.read_headerless_scores(spark, args.other), weight=args.ensemble_weight)
         sinks.write_tsv(mixed, args.output, header=False)
+    elif args.command == "train":
+        from .operators import training
+        from .sources.files import test_files
+
+        names = ("manifest", "data_root", "prefix", "val_fold", "no_val", "max_fake", "max_real", "components", "rounds", "embed", "cache")
+        config = training.TrainingConfig(**{n: getattr(args, n) for n in names})
+        rows, held = training.load_manifest(spark, config)
+        model = training.train(training.features(spark, rows, config, "train"), config)
+        if args.test_dir:
+            held = test_files(spark, args.test_dir)
+        scores = model.score(training.features(spark, held, config, "test")).cache()
+        if not args.test_dir and not args.no_val:
+            print(", ".join(f"{k}: {v}" for k, v in training.evaluate(scores).items()))
+        training.write_scores(scores, args.output_prefix)
     else:
         old = tables.read_manifest(spark, args.manifest)
         new = manifest.real_rows(manifest.files_of(spark, args.directory), "extra")

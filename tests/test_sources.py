@@ -291,6 +291,10 @@ def test_scorers(spark):
     assert scoring.loaded("resona.operators.scoring:SpectralFlatness") is scoring.loaded("resona.operators.scoring:SpectralFlatness")
     with pytest.raises(scoring.AssetError):
         scoring.require_assets("/nowhere", ("model.bin",))
+    scoring.check_architecture({}, "Scorer")
+    scoring.check_architecture({"architecture": ["Scorer"]}, "Scorer")
+    with pytest.raises(scoring.AssetError):
+        scoring.check_architecture({"architecture": "Other"}, "Scorer")
     df = spark.createDataFrame([("b", R, tone(2).tolist())], "file_id string, sample_rate int, samples array<float>")
     assert 0 <= scoring.whole_clip_scores(df).first().score <= 1
     with pytest.raises(Exception, match=InferenceError.__name__):
