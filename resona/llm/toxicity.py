@@ -29,6 +29,8 @@ FOLDS, HELD_OUT = 3, 1
 #: Score at and above which a document is predicted toxic.
 CUT = 0.7
 TRAINING_ROWS = 40_000
+#: Standardised evidence beyond which more is no surer: chance gives it in exp(-12) of clean texts.
+SATURATED = 24.0
 #: Leading letters that stand for a family of words.
 STEMS = range(4, 9)
 #: Weight of the prior, in pseudo-tokens: spread by overall frequency, and the same for every unit.
@@ -36,6 +38,8 @@ PRIOR = 1000.0
 EVEN = 0.5
 #: Units that chance alone may let pass as toxic, in all.
 BY_CHANCE = 0.05
+#: Log-odds (less their error) that a unit shows at least; weaker ones add up to noise in long and repeating texts.
+EVIDENCE = 3.0
 #: Units with evidence that a model keeps at most, strongest first.
 UNITS = 50_000
 REMEMBERED = 400_000
@@ -147,9 +151,9 @@ class Detector:
         return np.array(out, dtype=float)
 
     def standard(self, scores: np.ndarray) -> float:
-        """The best segment's score less what chance gives in a text of this length."""
+        """The best segment's score less what chance gives in a text of this length, within +-SATURATED."""
         best = max((s for *_, s in segments(scores)), default=0.0)
-        return self.root * best - math.log1p(len(scores))
+        return max(-SATURATED, min(SATURATED, self.root * best - math.log1p(len(scores))))
 
     def passages(self, text: str | None, chance: float = 0.01) -> list[tuple[int, int, float]]:
         """Segments (first word, end word, score) that chance gives less often than ``chance`` in a text."""
@@ -203,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Detector:
     names = table.column("unit").to_pylist()
     t, c = (table.column(k).to_numpy().astype(float) for k in ("t", "c"))
     odds, error = log_odds(t, c, n_t, n_c)
-    evidence = {u: float(o - e) for u, o, e in zip(names, odds, error, strict=True) if o - e > 0}
+    evidence = {u: float(o - e) for u, o, e in zip(names, odds, error, strict=True) if o - e >= EVIDENCE}
     # tokens without evidence cost a little, so that a segment must earn its length
     drift = 0.05
     plain = Detector(evidence, drift, 1.0, 1.0, 0.0)
