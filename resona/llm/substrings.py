@@ -219,9 +219,10 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stands for each edge key with its weight (edge 2), to be compared with the
     neighbouring buckets.
     """
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    held = [b for b in batches if b.num_rows]
+    if not held:
         return
+    table = pa.Table.from_batches(held)
     lead, rest, k1, place = (table.column(c).to_numpy() for c in ("lead", "rest", "k1", "place"))
     order = multikey_order([lead, rest])
     lead, rest, k1, place = lead[order], rest[order], k1[order], place[order]
