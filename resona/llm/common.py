@@ -80,16 +80,18 @@ def text_key(column: str = "text") -> list[Column]:
     return [F.xxhash64(whole_text(column)).alias("k1"), F.crc32(whole_text(column).cast("binary")).alias("k2")]
 
 
-def spread_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, salts: int | None = None) -> DataFrame:
+def spread_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, salts: int | None = None, salt: Column | None = None) -> DataFrame:
     """Adds ``name``: the row's 0-based gapless rank within ``group``.
 
     A group is cut into ``salts`` pieces by a hash of ``order``, ranked piece by
     piece, and each piece starts where the one before ends, so that a group
     holding a third of all rows never meets in one task.  The order within a
     group is (piece, order), the same for the same rows however they arrive.
+    ``salt`` numbers the pieces instead of the hash; where it grows with
+    ``order``, ranks follow ``order`` alone.
     """
     salts = salts or max(64, partitions(df.sparkSession))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int"))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int") if salt is None else salt.cast("int"))
     keys = [*group, "_salt"]
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = (

@@ -5,16 +5,20 @@ released at floor((j-1)/w) and due at ceil(j/w), in units of one block; earliest
 deadline first among the released blocks keeps every source within one block
 of its share at every prefix of the mix.
 
-Weights are rounded to multiples of 1/Q, so the schedule repeats every Q slots:
-one period is worked out once and a block's slot follows by arithmetic.  When a
+Weights are taken as the exact fractions that the floats stand for, so nothing
+is rounded however long the mix is; the driver keeps 12 bytes a block.  When a
 source runs dry a new phase begins, with the weights of the others scaled up;
-no row is dropped or repeated.
+no row is dropped or repeated.  Where a number of quanta is asked for, weights
+are rounded to multiples of 1/quanta instead, and one period is tiled.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from array import array
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +28,10 @@ from .common import spread_rank, text_key
 
 #: Rows of a block.
 BLOCK = 32
-#: Slots of a period: weights are multiples of 1/QUANTA.
+#: Slots of a period where weights are rounded to multiples of 1/quanta.
 QUANTA = 1024
+#: Blocks of a source whose slots travel in one row.
+CHUNK = 1024
 #: Sources the driver plans for; a plan has one row per source and phase.
 MAX_SOURCES = 512
 
@@ -98,6 +104,56 @@ def plan_phases(blocks: Mapping[str, int], weights: Mapping[str, float], quanta:
     return out
 
 
+def whole_weights(weights: Mapping[str, float]) -> dict[str, int]:
+    """Integers in the exact proportions of the weights; sources of weight 0 only where there are no others, all alike."""
+    if any(not math.isfinite(w) or w < 0 for w in weights.values()):
+        raise ValueError("weights must be finite and not negative")
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0} or dict.fromkeys(weights, Fraction(1))
+    scale = math.lcm(*(f.denominator for f in exact.values()))
+    return {s: int(f * scale) for s, f in exact.items()}
+
+
+def schedule(blocks: Mapping[str, int], weights: Mapping[str, float]) -> dict[str, tuple[array, array]]:
+    """(slots, phases) of each source's blocks in their order, under the exact weights."""
+    left = {s: n for s, n in blocks.items() if n > 0}
+    out = {s: (array("q"), array("i")) for s in left}
+    base = phase = 0
+    while left:
+        whole = whole_weights({s: weights[s] for s in left})
+        total = sum(whole.values())
+        waiting = [(0, s, 1) for s in sorted(whole)]
+        ready: list[tuple[int, str, int]] = []
+        t = 0
+        while True:
+            while waiting and waiting[0][0] <= t:
+                _, s, j = heapq.heappop(waiting)
+                heapq.heappush(ready, (-(-j * total // whole[s]), s, j))
+            due, s, j = heapq.heappop(ready)
+            t += 1
+            if due < t:
+                raise AssertionError("a block missed its deadline")
+            out[s][0].append(base + t - 1)
+            out[s][1].append(phase)
+            left[s] -= 1
+            if not left[s]:
+                break
+            heapq.heappush(waiting, (j * total // whole[s], s, j + 1))
+        del left[s]
+        base += t
+        phase += 1
+    return out
+
+
+def rounded_schedule(blocks: Mapping[str, int], weights: Mapping[str, float], quanta: int) -> dict[str, tuple[array, array]]:
+    """What ``schedule`` gives, under weights rounded to multiples of 1/quanta."""
+    out = {s: (array("q"), array("i")) for s, n in blocks.items() if n > 0}
+    for p in plan_phases(blocks, weights, quanta):
+        slots, phases = out[p["source"]]
+        slots.extend(p["base"] + i // p["share"] * quanta + p["at"][i % p["share"]] for i in range(p["n_blocks"]))
+        phases.extend([p["phase"]] * p["n_blocks"])
+    return out
+
+
 def temperature_weights(rows: Mapping[str, int], exponent: float = 0.5) -> dict[str, float]:
     """Target weights proportional to rows ** exponent."""
     return {s: float(n) ** exponent for s, n in rows.items()}
@@ -107,7 +163,7 @@ def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
     block: int = BLOCK,
-    quanta: int = QUANTA,
+    quanta: int | None = None,
     exponent: float = 0.5,
     payload: tuple[str, ...] = (),
 ) -> DataFrame:
@@ -117,14 +173,25 @@ def mix(
     (gapless from 0 over all rows), target_weight, and the ``payload`` columns.
     ``weights`` maps each source to its target; a missing source gets the
     smallest of them; without any, weights follow rows ** ``exponent``.
+    ``quanta`` rounds the weights to its multiples; without it they are exact.
 
     A null source is a source of its own; null or repeated doc_ids keep their
-    rows; an empty table gives no rows; more than 512 sources raise ValueError.
+    rows; an empty table gives no rows; more than 512 sources, and negative or
+    infinite weights, raise ValueError.
     """
-    spark = docs.sparkSession
-    null_name = "\0null"
     kept = [F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(payload)]  # a payload may share a name with the plan
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit(null_name)).alias("_src"), *text_key(), *kept)
+    placed = place(docs.select("doc_id", "source", *text_key(), *kept), weights, block, quanta, exponent)
+    names = ("doc_id", "source", "block", "slot", "phase", "position", "target_weight")
+    return placed.select(*names, *[F.col(f"_p{i}").alias(c) for i, c in enumerate(payload)])
+
+
+def place(
+    rows: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, quanta: int | None = None, exponent: float = 0.5
+) -> DataFrame:
+    """Rows (doc_id, source, the text's key k1 and k2, any others) with their block, slot, phase, position and target_weight."""
+    spark = rows.sparkSession
+    null_name = "\0null"
+    rows = rows.withColumn("_src", F.coalesce(F.col("source").cast("string"), F.lit(null_name)))
     counts = {r["_src"]: r["n"] for r in rows.groupBy("_src").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
@@ -132,38 +199,36 @@ def mix(
         target = temperature_weights(counts, exponent)
     else:
         target = {s: float(weights.get(s, min(weights.values()))) for s in counts}
-    quanta = max(quanta, 1 << max(1, (4 * len(counts) - 1).bit_length()))
-    plan = plan_phases({s: -(-n // block) for s, n in counts.items()}, target, quanta)
+    n_blocks = {s: -(-n // block) for s, n in counts.items()}
+    if quanta is None:
+        found = schedule(n_blocks, target)
+    else:
+        found = rounded_schedule(n_blocks, target, max(quanta, 1 << max(1, (4 * len(counts) - 1).bit_length())))
     total = sum(target.values()) or 1.0
-    gaps = []
-    last: dict[str, dict] = {}
-    for p in plan:
-        last[p["source"]] = p
-    for s, p in last.items():
-        i = p["n_blocks"] - 1
-        short = -counts[s] % block
-        if short:
-            gaps.append((p["base"] + i // p["share"] * quanta + p["at"][i % p["share"]], short))
-    schema = "_s string, phase int, first_block long, n_blocks long, share long, base long, at array<int>, target_weight double"
-    segments = spark.createDataFrame(
-        [(p["source"], p["phase"], p["first_block"], p["n_blocks"], p["share"], p["base"], p["at"], target[p["source"]] / total) for p in plan], schema
+    gaps = [(slots[-1], -counts[s] % block) for s, (slots, _) in found.items() if counts[s] % block]
+    schema = "_s string, _chunk long, _slots array<long>, _phases array<int>, target_weight double"
+    chunks = spark.createDataFrame(
+        [
+            (s, at // CHUNK, slots[at : at + CHUNK].tolist(), phases[at : at + CHUNK].tolist(), target[s] / total)
+            for s, (slots, phases) in found.items() for at in range(0, len(slots), CHUNK)
+        ],
+        schema,
     )
     ranked = spread_rank(rows, ["_src"], ["doc_id", "k1", "k2"], "_rank")
     ranked = ranked.withColumn("block", F.floor(F.col("_rank") / block).cast("long"))
-    near = (F.col("_src") == F.col("_s")) & (F.col("block") >= F.col("first_block")) & (F.col("block") < F.col("first_block") + F.col("n_blocks"))
-    nth = F.col("block") - F.col("first_block")
-    slot = F.col("base") + F.floor(nth / F.col("share")) * quanta + F.element_at("at", (nth % F.col("share") + 1).cast("int"))
+    here = (F.col("_src") == F.col("_s")) & (F.floor(F.col("block") / CHUNK) == F.col("_chunk"))
+    nth = (F.col("block") % CHUNK + 1).cast("int")
     missing = F.lit(0).cast("long")
     if gaps:
         table = F.array(*[F.struct(F.lit(s).cast("long").alias("s"), F.lit(n).cast("long").alias("n")) for s, n in gaps])
         missing = F.aggregate(table, F.lit(0).cast("long"), lambda a, g: a + F.when(g["s"] < F.col("slot"), g["n"]).otherwise(F.lit(0)))
+    others = [c for c in rows.columns if c not in ("_src", "source")]
     return (
-        ranked.join(F.broadcast(segments), near)  # at most MAX_SOURCES x phases rows
-        .withColumn("slot", slot.cast("long"))
+        ranked.join(F.broadcast(chunks), here)  # 12 bytes a block
+        .withColumn("slot", F.element_at("_slots", nth))
         .select(
-            "doc_id", F.when(F.col("_src") != null_name, F.col("_src")).alias("source"), "block", "slot", "phase",
+            *others, F.when(F.col("_src") != null_name, F.col("_src")).alias("source"), "block", "slot", F.element_at("_phases", nth).alias("phase"),
             (F.col("slot") * block + F.col("_rank") % block - missing).cast("long").alias("position"), "target_weight",
-            *[F.col(f"_p{i}").alias(c) for i, c in enumerate(payload)],
         )
     )
 

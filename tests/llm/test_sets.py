@@ -266,6 +266,34 @@ def test_phases_use_every_block_once():
         assert all(abs(seen[x] - w * (t + 1 - start)) < 1 for (g, x), w in share.items() if g == f)
 
 
+def test_every_prefix_keeps_within_a_block_of_the_target_weights():
+    hot = {"hot": 9000, **{f"s{i}": 2300 for i in range(19)}}
+    for blocks, weights in ((hot, mixing.temperature_weights({**hot, "hot": 13_000})), ({"a": 9_000, "b": 40, "c": 3_000}, {"a": 1.0, "b": 1e-4, "c": 0.3})):
+        who = {slot: (s, f) for s, (slots, phases) in mixing.schedule(blocks, weights).items() for slot, f in zip(slots, phases, strict=True)}
+        assert sorted(who) == list(range(sum(blocks.values()))) and Counter(s for s, _ in who.values()) == Counter(blocks)
+        total, seen, worst = sum(weights.values()), Counter(), 0.0
+        for t in range(len(who)):
+            s, phase = who[t]
+            if phase:
+                break
+            seen[s] += 1
+            worst = max(worst, *(abs(seen[x] - (t + 1) * w / total) for x, w in weights.items()))
+        assert t > 5_000 and worst < 1
+    with pytest.raises(ValueError, match="negative"):
+        mixing.schedule({"a": 1}, {"a": -1.0})
+
+
+def test_mix_follows_its_target_weight(spark):
+    docs = make(spark, [(i, f"t{i}", "hot" if i % 3 else f"s{i % 19}") for i in range(6_000)])
+    rows = mixing.mix(docs, block=1).collect()
+    target, seen = {r.source: r.target_weight for r in rows}, Counter()
+    for t, r in enumerate(sorted((r for r in rows if r.phase == 0), key=lambda r: r.position), 1):
+        assert r.position == t - 1
+        seen[r.source] += 1
+        assert all(abs(seen[s] - t * w) < 1 for s, w in target.items())
+    assert t > 1_300
+
+
 def test_mix_places_every_row(odd, odd_rows, empty):
     rows = mixing.mix(odd, block=4, quanta=64).collect()
     assert sorted(r.position for r in rows) == list(range(len(odd_rows)))
