@@ -8,6 +8,10 @@ that fill its gap exactly, consumed in bulk under the counts still available;
 what has no exact complement is packed best-fit decreasing.  The plan is a list
 of layouts with multiplicities.  Pieces then take places by their rank among
 the pieces of their length.
+
+``pack_mixed`` also keeps the order of the source mix: the copies of each layout
+are spread evenly over the sequences, and pieces rank by their place in the mix,
+so that the first sequences hold the first places of every length.
 """
 
 from __future__ import annotations
@@ -20,15 +24,20 @@ from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stored, release, spread_rank
+from . import mixing
+from .common import Stored, partitions, release, spread_rank, text_key
 
 CAPACITY = 2048
 END_ID = 0
 #: Entries of either generation of a worker's memory of chunks and words; what is forgotten is encoded again.
 REMEMBERED = 300_000
+#: Copies of a layout that travel in one row.
+COPIES = 4096
+#: Multiples of it, modulo 1, are spread evenly.
+GOLDEN = 0.6180339887498949
 #: The word pattern of the tokenizer, applied to normalised text.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -337,3 +346,70 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     ranked = spread_rank(cut.df, ["length"], ["doc_id", "piece", "ids_crc32"], "_rank")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.df.schema.fields)
     return ranked.select(*cut.df.columns, "_rank").mapInArrow(_places(segments), f"{schema}, sequence_id long, offset long")
+
+
+def _documents(path: str, capacity: int, kind: pa.DataType):
+    """The pieces of each row as one list, beside the row's other columns but its text."""
+    cut = _pieces(path, capacity)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbered = pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column("text")], ["doc_id", "text"])
+            (found,) = cut([numbered])
+            ends = np.cumsum(np.bincount(found.column("doc_id").to_numpy(), minlength=batch.num_rows))
+            each = pa.StructArray.from_arrays([found.column(c) for c in PIECE], fields=list(kind.value_type))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), each)
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], lists], [*keep, "cut"])
+
+    return rows
+
+
+#: Columns of a piece.
+PIECE = ("piece", "start", "length", "ids_crc32")
+
+
+def mixed_pieces(docs: DataFrame, weights: Mapping[str, float] | None = None, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and the row's position in the mix, of every piece."""
+    slim = docs.select("doc_id", "source", *text_key(), F.col("text").cast("string").alias("text"))
+    kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
+    kind = pa.list_(pa.struct([("piece", pa.int32()), *[(c, pa.int64()) for c in PIECE[1:]]]))
+    schema = f"doc_id {kinds['doc_id']}, source {kinds['source']}, k1 long, k2 long, cut array<struct<piece: int, start: long, length: long, ids_crc32: long>>"
+    cut = Stored(slim.mapInArrow(_documents(tokenizer or default_tokenizer(), capacity, kind), schema), "cut")
+    placed = mixing.place(cut.df, weights).select("doc_id", "position", F.explode("cut").alias("p"))
+    return placed.select("doc_id", *[f"p.{c}" for c in PIECE], "position")
+
+
+def _sequences(spark: SparkSession, layouts: list[tuple[tuple[int, ...], int]]) -> DataFrame:
+    """length, offset and sequence_id of every place: copy i of a layout taken n times stands at (i + x) / n of the way, x spread evenly over the layouts."""
+    rows = [(at, list(layout), times, a, min(a + COPIES, times)) for at, (layout, times) in enumerate(layouts) for a in range(0, times, COPIES)]
+    chunks = spark.createDataFrame(rows, "layout int, lengths array<long>, times long, a long, b long").repartition(partitions(spark))
+    copies = chunks.withColumn("i", F.explode(F.sequence("a", F.col("b") - 1))).withColumn("at", (F.col("i") + F.col("layout") * GOLDEN % 1) / F.col("times"))
+    salts = max(64, partitions(spark))
+    ranked = spread_rank(copies.select("layout", "lengths", "at"), [], ["at", "layout"], "sequence_id", salt=F.floor(F.col("at") * salts))
+    placed = ranked.select("sequence_id", "lengths", F.posexplode("lengths").alias("n", "length"))
+    before = F.aggregate(F.slice("lengths", 1, F.col("n")), F.lit(0).cast("long"), lambda a, x: a + x)
+    return placed.select("sequence_id", "length", before.alias("offset"))
+
+
+def pack_mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+    """What ``pack`` gives, with sequences in the order of the mix to ``weights``.
+
+    Sequences are numbered from 0 without gaps; of the pieces of one length, the
+    earlier in the mix stands in the earlier sequence.
+    """
+    spark = docs.sparkSession
+    cut = Stored(mixed_pieces(docs, weights, tokenizer, capacity), "mixed-pieces")
+    release(spark)
+    found = cut.df.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last")).collect()  # at most `capacity` rows
+    layouts = plan({r["length"]: r["n"] for r in found}, capacity)
+    salts = max(64, partitions(spark))
+
+    def ranked(rows: DataFrame, order: list[str], size: int) -> DataFrame:
+        return spread_rank(rows, ["length"], order, "_rank", salt=F.floor(F.col(order[0]) * salts / size))
+
+    pieces_ = ranked(cut.df, ["position", "piece"], max((r["last"] for r in found), default=0) + 1)
+    places = ranked(_sequences(spark, layouts), ["sequence_id", "offset"], max(1, sum(times for _, times in layouts)))
+    places = places.select(F.col("length").alias("_length"), F.col("_rank").alias("_place"), "sequence_id", "offset")
+    same = (F.col("length") == F.col("_length")) & (F.col("_rank") == F.col("_place"))
+    return pieces_.join(places, same).select("doc_id", *PIECE, "sequence_id", "offset")

@@ -290,3 +290,15 @@ def test_pipeline(spark, small):
     assert ids == {r.doc_id for r in now.collect()}
     whole = pipeline.run(spark, small)
     assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(map(tuple, staged.select("doc_id", "piece", "length", "ids_crc32").collect()))
+
+
+def test_the_mix_reaches_the_sequences(spark, small, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    found = {}
+    sources = [r.source for r in spark.read.parquet(f"{small}/documents.parquet").select("source").distinct().orderBy("source").collect()]
+    for wanted in (sources[0], sources[-1]):
+        monkeypatch.setattr(pipeline, "WEIGHTS", dict.fromkeys(sources, 1.0) | {wanted: 50.0})
+        found[wanted] = {(r.doc_id, r.piece, r.ids_crc32): (r.sequence_id, r.offset) for r in pipeline.run(spark, small).collect()}
+    a, b = found.values()
+    assert a.keys() == b.keys() and a != b

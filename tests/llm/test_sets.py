@@ -357,6 +357,31 @@ def test_pack_matches_the_tokenizer(odd, odd_rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_sequences_follow_the_mix(spark, odd, odd_rows, empty):
+    plain, mixed = packing.pack(odd, capacity=256).collect(), packing.pack_mixed(odd, capacity=256).collect()
+    piece = lambda r: (key(r.doc_id), r.piece, r.start, r.length, r.ids_crc32)
+    assert Counter(map(piece, mixed)) == Counter(map(piece, plain)) and packing.pack_mixed(empty).count() == 0
+    places = defaultdict(list)
+    for r in mixed:
+        places[r.sequence_id].append((r.offset, r.length))
+    assert sorted(places) == list(range(len({r.sequence_id for r in plain})))
+    for p in places.values():
+        assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:i]) for i in range(len(p))] and sum(n for _, n in p) <= 256
+    # a source that is wanted more comes in the first sequences, whatever its share of the rows
+    rng = random.Random(3)
+    docs = make(spark, [(i, " ".join(["word"] * rng.choice([20, 60, 110, 190])), "hot" if i % 10 else "rare") for i in range(3000)])
+    for weights in ({"hot": 0.5, "rare": 0.5}, {"hot": 0.9, "rare": 0.1}, {"hot": 0.2, "rare": 0.8}):
+        rows = packing.pack_mixed(docs, weights, capacity=256).collect()
+        first = [r for r in rows if r.sequence_id < 120]  # some ten blocks
+        share = sum(r.length for r in first if r.doc_id % 10 == 0) / sum(r.length for r in first)
+        assert abs(share - weights["rare"]) < 0.12, (weights, share)
+        where = defaultdict(list)
+        for r in rows:
+            where[r.length].append((r.sequence_id, r.offset, r.doc_id))
+        order = {r.doc_id: r.position for r in mixing.mix(docs, weights).collect()}
+        assert all([order[d] for *_, d in sorted(w)] == sorted(order[d] for *_, d in w) for w in where.values())
+
+
 def test_remembered_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
