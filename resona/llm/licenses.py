@@ -1,16 +1,21 @@
 """License scans by conditional compression.
 
-A candidate block is a run of lines that speak of licences or copyright.  It is
-compressed alone and with each template as a zstandard raw dictionary; the
-template that saves the largest share of the block is the winner, and an exact
-comparison of the words confirms or rejects it.
+Lines that speak of licences or copyright are candidates, with the lines around
+them up to the length of the longest template.  Every template is aligned with
+their words; each that keeps enough of its words is a notice, trimmed to the
+aligned words, so wrapped lines, comment marks and several notices side by side
+are seen.  Candidate lines without a notice form blocks that are judged whole.
+A block is compressed alone and with each template as a zstandard raw
+dictionary, for the share saved and the runner-up.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import pyarrow as pa
@@ -64,6 +69,10 @@ TRIGGER = r"(?i)licen[cs]e|copyright|\(c\)|©|permission is hereby|redistribut|p
 #: Share of a block's words that may differ from the template's at most.
 DIFFERENT = 0.2
 _TRIGGER = re.compile(TRIGGER)
+#: The same where a line break and a comment mark may stand between two words.
+_WRAPPED = re.compile(TRIGGER.replace(" ", r"[\W_]+"))
+#: What an aligned word gains over a word in between that is not the template's.
+GAIN = 10
 _WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*", re.U)
 
 
@@ -128,17 +137,16 @@ def differences(block: str, template: str) -> tuple[int, int, str]:
 def _judge(block: str) -> tuple[str, float, str, int, int, str, bool]:
     """Best licence, its saving, the runner-up, word differences, confirmation.
 
-    Templates of equal saving are told apart by their wording; longer blocks
-    that hold a template whole are confirmed by the words they share.
+    Wording decides among all templates, those the block can mean first; longer
+    blocks that hold a template whole are confirmed by the words they share.
     """
     ranked = rank(block)
-    # wording decides among the five that save most
     best = None
     for saved, name, i in ranked[:5]:
         text = TEMPLATES[name][i]
         lost, added, said = differences(block, text)
         words = len(_WORD.findall(text.lower()))
-        key = (lost / words, added, -saved, name, i)
+        key = (not (lost <= DIFFERENT * words and _names(name, block)), lost / words, added, -saved, name, i)
         if best is None or key < best[0]:
             best = (key, name, saved, lost, added, said, words)
     _, name, saved, lost, added, said, words = best
@@ -168,14 +176,135 @@ def _names(name: str, block: str) -> bool:
     return re.search(_MARKS[name], _plain(block)) is not None
 
 
+@lru_cache(1)
+def _wordings() -> list[tuple[str, int, list[str]]]:
+    return [(name, i, _WORD.findall(text.lower())) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
+
+
+def _reach(n: int) -> int:
+    """Most words between the first and the last of a notice after a template of n words."""
+    return 2 * n + 8
+
+
+def _dense(words: Sequence[str], template: Sequence[str], need: int) -> Iterator[int]:
+    """Where a window of the template's reach begins that holds ``need`` of its words."""
+    wants, size = Counter(template), _reach(len(template))
+    held: Counter[str] = Counter()
+    n = 0
+    for end in range(len(words) + size - 1):
+        if end < len(words) and (w := words[end]) in wants:
+            n += held[w] < wants[w]
+            held[w] += 1
+        if end >= size and (w := words[end - size]) in wants:
+            held[w] -= 1
+            n -= held[w] < wants[w]
+        if n >= need:
+            yield max(0, end - size + 1)
+
+
+def _align(words: Sequence[str], template: Sequence[str], need: int) -> tuple[int, int, int] | None:
+    """(first word, end, words kept) of the first alignment that keeps ``need`` words, at its best end."""
+    n = len(template)
+    none = (0, 0, 0)  # gain, first word, words kept
+    before = [none] * (n + 1)
+    best = first = None
+    for j, w in enumerate(words):
+        now = [none]
+        for i, t in enumerate(template):
+            gain, at, kept = before[i + 1]
+            top = max(now[i], (gain - 1, at, kept) if gain > 1 else none)
+            if t == w:
+                gain, at, kept = before[i]
+                top = max(top, (gain + GAIN, at, kept + 1) if gain else (GAIN, j, 1))
+            now.append(top)
+        before = now
+        gain, at, kept = now[n]
+        if kept >= need and (first is None or at <= first) and (best is None or gain > best[0]):
+            first = j if first is None else first
+            best = (gain, at, j + 1, kept)
+        if first is not None and j > first + n:
+            break
+    return best and best[1:]
+
+
+def _aligned(words: Sequence[str]) -> list[tuple[int, int, str, int]]:
+    """(first word, end, licence, template) of the notices among the words; of those that overlap, the one that keeps most."""
+    found = []
+    for name, i, template in _wordings():
+        n = len(template)
+        need = n - int(DIFFERENT * n)
+        done = 0
+        for at in _dense(words, template, need):
+            at = max(at, done)
+            while hit := _align(words[at : at + 2 * _reach(n)], template, need):
+                a, b, kept = at + hit[0], at + hit[1], hit[2]
+                if re.search(rf"\b(?:{_MARKS[name]})\b", " ".join(words[a:b])):
+                    found.append((-kept, n - kept, b - a - kept, name, i, a, b))
+                at = done = b
+            done = max(done, at + _reach(n))
+    taken: list[tuple[int, int, str, int]] = []
+    for *_, name, i, a, b in sorted(found):
+        if all(b <= x or a >= y for x, y, *_ in taken):
+            taken.append((a, b, name, i))
+    return sorted(taken)
+
+
+def regions(text: str) -> list[tuple[int, int]]:
+    """(first character, end) of candidate lines with their neighbours, as far as a template may reach."""
+    hits = [m.span() for m in _WRAPPED.finditer(text)]
+    far = max(_reach(len(t)) for *_, t in _wordings())
+    out: list[tuple[int, int]] = []
+    ends = [m.span() for m in _WORD.finditer(text)] if hits else []
+    starts = [a for a, _ in ends]
+    for a, b in hits:
+        i, j = max(0, bisect.bisect_right(starts, a) - 1 - far), min(len(ends) - 1, bisect.bisect_left(starts, b) + far)
+        a, b = min(a, ends[i][0]) if ends else a, max(b, ends[j][1]) if ends else b
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+@lru_cache(65536)
+def _notice(block: str, name: str, i: int) -> tuple[str, float, str, int, int, str, bool]:
+    """What ``_judge`` gives, for a notice whose words are aligned with a template."""
+    ranked = rank(block)
+    saved = next(x for x, n, k in ranked if (n, k) == (name, i))
+    return name, saved, next((n for _, n, _ in ranked if n != name), ""), *differences(block, TEMPLATES[name][i]), True
+
+
+def notices(text: str) -> list[tuple]:
+    """(first character, end, what ``_judge`` gives) of each notice and of each block of candidate lines without one."""
+    out = []
+    for a, b in regions(text):
+        found = list(_WORD.finditer(text, a, b))
+        for first, end, name, i in _aligned([m.group().lower() for m in found]):
+            x, y = found[first].start(), found[end - 1].end()
+            out.append((x, y, *_notice(text[x:y], name, i)))
+    spans = [x[:2] for x in out]
+    for start, end, block in blocks(text):
+        at, rest = start, []  # runs of the block's lines that no notice touches
+        for line in block.split("\n"):
+            if any(x < at + len(line) and at < y for x, y in spans):
+                rest.append(None)
+            elif rest and rest[-1]:
+                rest[-1] = (rest[-1][0], at + len(line))
+            else:
+                rest.append((at, at + len(line)))
+            at += len(line) + 1
+        out += [(x, y, *_judge(text[x:y])) for x, y in filter(None, rest)]
+    return sorted(out)
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row: list[int] = []
         out: list[list] = [[] for _ in range(10)]
         for i, text in enumerate(batch.column("text").to_pylist()):
-            for n, (start, end, block) in enumerate(blocks(text or "")):
+            for n, found in enumerate(notices(text or "")):
                 row.append(i)
-                for into, v in zip(out, (n, start, end, *_judge(block)), strict=True):
+                for into, v in zip(out, (n, *found), strict=True):
                     into.append(v)
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
         yield pa.RecordBatch.from_arrays(
@@ -185,7 +314,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """A row for each candidate block: where it stands, its licence and how sure that is.
+    """A row for each notice and each candidate block without one: where it stands, its licence and how sure that is.
 
     doc_id, block (from 0), start and end (characters), license, saving (share
     of the compressed size), runner_up, words_lost, words_added, changes,

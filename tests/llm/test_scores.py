@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import textwrap
 import zlib
 from collections import Counter
 
@@ -259,6 +260,21 @@ def test_blocks_and_near_wordings():
     assert licenses._judge("This work is licensed under the GNU General Public License, version 2.")[0] == "GPL-2.0"
 
 
+def confirmed(text):
+    return [(r[2], text[r[0] : r[1]]) for r in licenses.notices(text) if r[-1]]
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_notices_are_whole(mark):
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            lines = textwrap.wrap(t, 72 - len(mark))
+            text = "\n".join(["Some prose stands before it.", "", *[mark + line for line in lines], "", "And some after, to the end."])
+            found = confirmed(text)
+            assert [n for n, _ in found] == [name], (text, found)
+            assert found[0][1].split()[0] == t.split()[0] and found[0][1].split()[-1].strip(".:/") == t.split()[-1].strip(".:/")
+
+
 def test_licenses_of_odd_tables(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
     rows = [(1, "a\nReleased under the MIT License.", "s"), (1, "a\nReleased under the MIT License.", "s"), (2, "b " * 50_000 + "\nLicensed under CC BY-NC 4.0.\n" + "c " * 10, "s"), (None, None, None)]
