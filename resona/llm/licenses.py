@@ -142,7 +142,7 @@ def _judge(block: str) -> tuple[str, float, str, int, int, str, bool]:
     """
     ranked = rank(block)
     best = None
-    for saved, name, i in ranked[:5]:
+    for saved, name, i in ranked:
         text = TEMPLATES[name][i]
         lost, added, said = differences(block, text)
         words = len(_WORD.findall(text.lower()))

@@ -275,6 +275,17 @@ def test_wrapped_notices_are_whole(mark):
             assert found[0][1].split()[0] == t.split()[0] and found[0][1].split()[-1].strip(".:/") == t.split()[-1].strip(".:/")
 
 
+def test_no_template_is_ruled_out_by_its_compression():
+    rng = random.Random(2)
+    common = " ".join(x for texts in licenses.TEMPLATES.values() for t in texts for x in t.split() if len(x) < 8).split()
+    for name, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            for n in (100, 900):
+                prose = [rng.choice(["meadow", "river", "seldom", "house", *rng.choices(common, k=2)]) for _ in range(n)]
+                text = " ".join([*prose[: n // 2], t, *prose[n // 2 :]])
+                assert name in [x for x, _ in confirmed(text)], (name, text)
+
+
 def test_licenses_of_odd_tables(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
     rows = [(1, "a\nReleased under the MIT License.", "s"), (1, "a\nReleased under the MIT License.", "s"), (2, "b " * 50_000 + "\nLicensed under CC BY-NC 4.0.\n" + "c " * 10, "s"), (None, None, None)]
