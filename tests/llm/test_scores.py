@@ -286,6 +286,15 @@ def test_no_template_is_ruled_out_by_its_compression():
                 assert name in [x for x, _ in confirmed(text)], (name, text)
 
 
+def test_every_notice_of_a_block_has_its_row(spark):
+    a, b = "Licensed under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    for text in (f"{a}\n{b}", f"{b} {a}", f"x\n{a} Or at your option: {b}\ny", f"{a}\n\n{b}"):
+        assert sorted(n for n, _ in confirmed(text)) == ["Apache-2.0", "MIT"], text
+    assert [n for n, _ in confirmed(" ".join([a, b] * 20))] == ["MIT", "Apache-2.0"] * 20
+    rows = licenses.scan(make(spark, [(1, f"{a}\n{b}\nLicensed to drive a car.", "s")])).collect()
+    assert [(r.block, r.license, r.confirmed) for r in rows][:2] == [(0, "MIT", True), (1, "Apache-2.0", True)] and [r.confirmed for r in rows[2:]] == [False]
+
+
 def test_licenses_of_odd_tables(spark, odd, empty):
     assert licenses.scan(odd).count() == 0 and licenses.scan(empty).count() == 0
     rows = [(1, "a\nReleased under the MIT License.", "s"), (1, "a\nReleased under the MIT License.", "s"), (2, "b " * 50_000 + "\nLicensed under CC BY-NC 4.0.\n" + "c " * 10, "s"), (None, None, None)]
