@@ -39,3 +39,22 @@ def test_models_are_kept(spark, tmp_path):
         assert [r.score for r in again.score(df).collect()] == [r.score for r in model.score(df).collect()]
     _, found = training.train_and_evaluate(df, df, ["a"])
     assert found["accuracy"] > 0.9
+
+
+def test_oof_gbt_is_the_whole_job(spark, small, monkeypatch):
+    from resona.plans import signals
+
+    used, fit = [], learning.Boosted.fit
+
+    def quick(self, *args, **kwargs):
+        used.append(self.parameters)
+        few = learning.Boosted(maxIter=1)
+        fit(few, *args, **kwargs)
+        self.__dict__.update(few.__dict__)
+        return self
+
+    monkeypatch.setattr(learning.Boosted, "fit", quick)
+    rows = signals.oof_gbt(spark, small).collect()
+    wanted = signals._features(spark, small).select("file_id", "fold").collect()
+    assert used and all(p == learning.BOOSTED for p in used) and len(used) == len({r.fold for r in wanted})
+    assert sorted(r.file_id for r in rows) == sorted(r.file_id for r in wanted) and all(0 <= r.score <= 1 for r in rows)
