@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import nearcopies
 from .common import Stored, release, text_key
 from .components import components
 
@@ -169,9 +170,17 @@ def classes(docs: DataFrame) -> DataFrame:
     repeated rows keep their count; an empty table gives no rows.
     """
     prints = Stored(fingerprints(docs), "simhash")
-    spark = docs.sparkSession
-    linked = Stored(links(prints.df), "simhash-links")
-    release(spark)
+    return _linked(prints, Stored(links(prints.df), "simhash-links"))
+
+
+def copies(docs: DataFrame, words: int = nearcopies.WORDS, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
+    """What ``classes`` gives, linked by the Jaccard similarity of shingles; fp is the node of the text's shingles."""
+    found = Stored(nearcopies.signatures(docs, words), "copies")
+    return _linked(found, Stored(nearcopies.links(docs, found.df, words, similarity), "copies-links"))
+
+
+def _linked(prints: Stored, linked: Stored) -> DataFrame:
+    release(prints.spark)
     roots = components(linked.df, "simhash-stars")
     nodes = prints.df.groupBy("fp").agg(F.min("doc_id").alias("least"))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -185,15 +194,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return classes(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """The documents, one row of each class: one with the class's smallest doc_id.
 
+    Classes are ``found``, those of ``copies``, or else op3's.
+
     Of a class without any doc_id, and of rows that share the smallest, the one
     with the smallest text key stays; of rows that repeat it whole, one.
     """
     first = F.min(F.struct("k1", "k2"))
     keep = (
-        classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+        (classes(docs) if found is None else found).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
         .groupBy("root").agg(first.alias("k"), F.first("doc_id").alias("d"))
         .select(F.col("d").alias("__keep_id"), F.col("k.k1").alias("__keep1"), F.col("k.k2").alias("__keep2"))
     )

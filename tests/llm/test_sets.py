@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from resona.llm import components, mixing, packing, search, sharding, simhash, substrings
+from resona.llm import components, mixing, nearcopies, packing, search, sharding, simhash, substrings
 
 from .conftest import make
 
@@ -311,6 +311,43 @@ def test_mixed_documents_keep_rows_and_order(odd, odd_rows):
     assert Counter((key(r.doc_id), r.text, r.source, r.k1) for r in out.collect()) == Counter((key(i), t, s, "extra k1") for i, t, s in odd_rows)
 
 
+# --- near copies ---
+
+
+def test_near_copies_of_single_edits_are_one(spark):
+    rng, rows, pairs = random.Random(8), [], 0
+    for i in range(60):
+        text = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        rows.append((10 * i, " ".join(text), "s"))
+        for k in range(1, 4):
+            edited = list(text)
+            for _ in range(k):
+                edited[rng.randrange(len(text))] = f"x{rng.randrange(5000)}"
+            rows.append((10 * i + k, " ".join(edited), "s"))
+    rows += [(9000 + i, f"one common line of six words {i} {rng.random()} " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(40)), "s") for i in range(40)]
+    sets = {i: set(nearcopies.shingles(t).tolist()) for i, t, _ in rows}
+    least = {i: i for i in sets}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                pairs += 1
+                least[max(find(a), find(b))] = min(find(a), find(b))
+    found = {r.doc_id: r.component_id for r in simhash.copies(make(spark, rows)).collect()}
+    assert pairs > 150 and found == {i: find(i) for i in sets}
+
+
+def test_near_copies_of_odd_tables(spark, odd, empty):
+    kept = simhash.one_of_each(odd, simhash.copies(odd))
+    assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
+    assert simhash.one_of_each(empty, simhash.copies(empty)).count() == 0
+
+
 # --- packing -----------------------------------------------------------------
 
 
