@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -125,12 +126,19 @@ def linear_filterbank(filters: int, nfft: int, rate: float) -> np.ndarray:
     return np.maximum(0.0, np.minimum(rise, fall))
 
 
-def slopes(rows: np.ndarray, reach: int = 4) -> np.ndarray:
-    """Least-squares slope over ``reach`` frames on both sides, edges repeated."""
-    width = np.arange(-reach, reach + 1)
-    padded = np.pad(rows, ((0, 0), (reach, reach)), mode="edge")
-    view = np.lib.stride_tricks.sliding_window_view(padded, 2 * reach + 1, axis=1)
-    return view @ width / (width @ width)
+def slopes(rows: np.ndarray, order: int = 1, reach: int = 4) -> np.ndarray:
+    """The ``order``-th derivative of the least-squares polynomial of degree ``order`` over ``reach`` frames on both sides.
+
+    Such a derivative is the same all along one polynomial, so the frames at the
+    edges, which lack neighbours, take the value of the nearest whole fit.
+    """
+    width = 2 * reach + 1
+    if rows.shape[1] < width:
+        raise ValueError(f"slopes need at least {width} frames")
+    at = np.arange(-reach, reach + 1)
+    taps = np.linalg.pinv(np.vander(at, order + 1, increasing=True))[order] * math.factorial(order)
+    inner = np.lib.stride_tricks.sliding_window_view(rows, width, axis=1) @ taps
+    return np.pad(inner, ((0, 0), (reach, reach)), mode="edge")
 
 
 # --- wavelets ----------------------------------------------------------------

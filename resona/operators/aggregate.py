@@ -9,12 +9,37 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..schema import HIGH_SCORE
+from .metrics import running_counts
 
 
-def top3_mean(score: Column) -> Column:
-    """Mean of the three largest, or of all where there are fewer."""
-    best = F.slice(F.sort_array(F.collect_list(score), asc=False), 1, 3)
-    return F.aggregate(best, F.lit(0.0), lambda a, x: a + x) / F.size(best)
+def top3_mean(scores: DataFrame, group: str | Sequence[str], score: str = "score") -> DataFrame:
+    """Mean of each group's three largest scores, or of all where there are fewer.
+
+    The rank's bound lets every map task pass on three rows of a group at most.
+    """
+    keys = [group] if isinstance(group, str) else list(group)
+    w = Window.partitionBy(*keys).orderBy(F.desc(score))
+    best = scores.select(*keys, score).withColumn("_rank", F.row_number().over(w)).filter("_rank <= 3")
+    return best.groupBy(*keys).agg(F.avg(score).alias("top3_mean"))
+
+
+def running_values(rows: DataFrame, value: str, groups: Sequence[str] = ()) -> DataFrame:
+    """Distinct non-null values s of each group with their count nb, the count cb up to them and the total tb.
+
+    Equal values meet in partial sums and the counts run in two phases, so no
+    group's values meet in one task.
+    """
+    counts = rows.filter(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("s"))
+    return running_counts(counts.agg(F.count(F.lit(1)).alias("nb"), F.lit(0).cast("long").alias("ns")), groups)
+
+
+def percentile_of(share: float) -> Column:
+    """The exact percentile of ``running_values``, as an aggregate: linear between the two values around its place."""
+    place = F.lit(share) * (F.col("tb") - 1)
+    at = lambda rank: F.min(F.when(F.col("cb") > rank, F.col("s")))  # noqa: E731  the value at a 0-based rank
+    part = F.max(place - F.floor(place))
+    below, above = at(F.floor(place)), at(F.ceil(place))
+    return F.when(below == above, below).otherwise((1 - part) * below + part * above)
 
 
 def window_summary(scores: DataFrame, group: str | Sequence[str] = "file_id", score: str = "score", threshold: float = HIGH_SCORE) -> DataFrame:
@@ -48,17 +73,13 @@ def distributions(rows: DataFrame, label: str, features: Sequence[str], order: s
     """
     long = rows.unpivot([label, *([order] if order else [])], list(features), "feature", "value")
     first = [F.min(order).alias("_first")] if order else []
-    out = long.groupBy(label, "feature").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_pop("value").alias("std"),
-        F.min("value").alias("min"),
-        F.percentile("value", F.lit(0.5)).alias("median"),
-        F.percentile("value", F.lit(0.95)).alias("p95"),
-        F.max("value").alias("max"),
-        *first,
+    moments = long.groupBy(label, "feature").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), *first
     )
-    return out
+    places = running_values(long, "value", [label, "feature"]).groupBy(F.col(label).alias("_label"), F.col("feature").alias("_feature"))
+    places = places.agg(percentile_of(0.5).alias("median"), percentile_of(0.95).alias("p95"))
+    both = moments.join(places, F.col(label).eqNullSafe(F.col("_label")) & (F.col("feature") == F.col("_feature")), "left")
+    return both.select(label, "feature", "n", "mean", "std", "min", "median", "p95", "max", *(["_first"] if order else []))
 
 
 def assert_finite(rows: DataFrame, columns: Sequence[str]) -> None:
@@ -90,10 +111,11 @@ def top_windows(scores: DataFrame, group: str, start: str, score: str = "score",
 
 
 def score_stats(scores: DataFrame, score: str = "score", middle: float = 0.5) -> DataFrame:
-    """min, max, median, mean, and counts above and below the middle."""
-    return scores.agg(
-        F.min(score).alias("min"), F.max(score).alias("max"), F.percentile(score, F.lit(0.5)).alias("median"), F.avg(score).alias("mean"),
-        F.count_if(F.col(score) > middle).alias("above"), F.count_if(F.col(score) < middle).alias("below"),
+    """min, max, median, mean, and counts above and below the middle, from counts per distinct score."""
+    n = F.col("nb")
+    return running_values(scores, score).agg(
+        F.min("s").alias("min"), F.max("s").alias("max"), percentile_of(0.5).alias("median"), (F.sum(F.col("s") * n) / F.sum(n)).alias("mean"),
+        F.coalesce(F.sum(F.when(F.col("s") > middle, n)), F.lit(0)).alias("above"), F.coalesce(F.sum(F.when(F.col("s") < middle, n)), F.lit(0)).alias("below"),
     )
 
 

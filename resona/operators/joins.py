@@ -69,15 +69,3 @@ def stack_columns(scores: Mapping[str, DataFrame], key: str = "file_id", score:
         out = part if out is None else out.join(part, key)
     return out
 
-
-def nearest_fingerprints(files: DataFrame, fingerprints: DataFrame, distance, key: str = "file_id") -> DataFrame:
-    """Least distance of each file to real and to fake fingerprints.
-
-    ``fingerprints`` has one row per source (is_real and a few arrays), so it
-    meets each file as one array, with no join on the files' side.
-    """
-    names = [c for c in fingerprints.columns]
-    packed = fingerprints.agg(F.collect_list(F.struct(*names)).alias("_prints"))
-    met = files.join(F.broadcast(packed)).withColumn("_d", F.transform("_prints", lambda p: F.struct(p["is_real"].alias("is_real"), distance(p).alias("d"))))
-    least = lambda real: F.array_min(F.transform(F.filter("_d", lambda x: x["is_real"] == real), lambda x: x["d"]))
-    return met.select(*files.columns, least(True).alias("d_real"), least(False).alias("d_fake"))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..errors import MetricError
 from ..schema import C_FA, C_MISS, P_SPOOF
 
-#: Ranges of scores that a cumulative sum is cut into.
+#: Ranges of scores that a cumulative sum is cut into at least; more where a shuffle has more partitions.
 RANGES = 32
 
 
@@ -29,12 +29,13 @@ def distinct_scores(rows: DataFrame, score: str, is_spoof: str, groups: Sequence
     )
 
 
-def running_counts(counts: DataFrame, groups: Sequence[str] = (), descending: bool = False, ranges: int = RANGES) -> DataFrame:
+def running_counts(counts: DataFrame, groups: Sequence[str] = (), descending: bool = False, ranges: int | None = None) -> DataFrame:
     """Adds cb, cs (counts up to and including s) and tb, ts (totals) per group.
 
     Two-phase prefix sum: the cuts come from an approximate quantile sketch and
     decide only how work is dealt out, not the result.
     """
+    ranges = ranges or max(RANGES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = counts.agg(F.percentile_approx("s", [i / ranges for i in range(1, ranges)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     if cuts:
@@ -82,17 +83,14 @@ def min_dcf(
             raise MetricError(f"{name} out of range: {value}")
     keys = list(groups)
     run = running_counts(distinct_scores(rows, score, is_spoof, keys), keys, descending=True).filter("tb > 0 AND ts > 0")
-    tb, ts = F.col("tb").cast("double"), F.col("ts").cast("double")
-    points = run.select(
-        *keys, F.col("s").alias("threshold"), (F.col("cb") / tb).alias("p_miss"), ((F.col("ts") - F.col("cs")) / ts).alias("p_fa"),
-        (-F.col("s")).alias("_at"), "tb", "ts",
-    )
-    first = run.groupBy(*keys).agg(F.max("s").alias("_top"), F.first("tb").alias("tb"), F.first("ts").alias("ts"))
-    start = first.select(
-        *keys, (F.col("_top") + F.lit(0.001)).alias("threshold"), F.lit(0.0).alias("p_miss"), F.lit(1.0).alias("p_fa"), (-F.col("_top") - F.lit(0.001)).alias("_at"), "tb", "ts"
-    )
+    tb, ts, s = F.col("tb").cast("double"), F.col("ts").cast("double"), F.col("s")
+    own = F.struct(s.alias("threshold"), (F.col("cb") / tb).alias("p_miss"), ((F.col("ts") - F.col("cs")) / ts).alias("p_fa"), (-s).alias("_at"))
+    # the curve starts above the highest score: that row gives two points
+    start = F.struct((s + F.lit(0.001)).alias("threshold"), F.lit(0.0).alias("p_miss"), F.lit(1.0).alias("p_fa"), (-s - F.lit(0.001)).alias("_at"))
+    highest = F.col("cb") + F.col("cs") == F.col("nb") + F.col("ns")
+    points = run.select(*keys, "tb", "ts", F.explode(F.when(highest, F.array(start, own)).otherwise(F.array(own))).alias("p")).select(*keys, "tb", "ts", "p.*")
     cost, norm = _cost(p_spoof, c_miss, c_fa)
-    both = points.unionByName(start).withColumn("cost", cost)
+    both = points.withColumn("cost", cost)
     best = F.min(F.struct("cost", "_at", "threshold", "p_miss", "p_fa")).alias("b")
     out = both.groupBy(*keys).agg(best, F.first("tb").alias("n_bonafide"), F.first("ts").alias("n_spoof"))
     out = out.filter("b IS NOT NULL")
@@ -129,20 +127,19 @@ def det_curve(rows: DataFrame, score: str, is_spoof: str) -> DataFrame:
     """
     run = running_counts(distinct_scores(rows, score, is_spoof), descending=True)
     before_b, before_s = F.col("cb") - F.col("nb"), F.col("cs") - F.col("ns")
+    highest = before_b + before_s == 0
     each = run.select(
-        "tb", "ts", (-F.col("s")).alias("threshold"), before_b.alias("_b"), before_s.alias("_s"), "nb",
-        F.explode(F.sequence(F.lit(1).cast("long"), F.col("nb") + F.col("ns"))).alias("_i"),
+        "tb", "ts", F.col("s"), before_b.alias("_b"), before_s.alias("_s"), "nb",
+        F.explode(F.sequence(F.when(highest, 0).otherwise(1).cast("long"), F.col("nb") + F.col("ns"))).alias("_i"),
     )
     seen_b = F.col("_b") + F.least("_i", "nb")
     seen_s = F.col("_s") + F.greatest(F.lit(0), F.col("_i") - F.col("nb"))
-    points = each.select(
-        (F.col("_b") + F.col("_s") + F.col("_i")).alias("point"), (seen_b / F.col("tb").cast("double")).alias("p_miss"),
-        ((F.col("ts") - seen_s) / F.col("ts").cast("double")).alias("p_fa"), "threshold",
-    )
-    start = run.agg(F.max("s").alias("m")).filter("m IS NOT NULL").select(
-        F.lit(0).cast("long").alias("point"), F.lit(0.0).alias("p_miss"), F.lit(1.0).alias("p_fa"), (-F.col("m") - F.lit(0.001)).alias("threshold")
+    start = F.col("_i") == 0  # point 0 lies above the highest score
+    return each.select(
+        (F.col("_b") + F.col("_s") + F.col("_i")).alias("point"), F.when(start, 0.0).otherwise(seen_b / F.col("tb").cast("double")).alias("p_miss"),
+        F.when(start, 1.0).otherwise((F.col("ts") - seen_s) / F.col("ts").cast("double")).alias("p_fa"),
+        F.when(start, -F.col("s") - F.lit(0.001)).otherwise(-F.col("s")).alias("threshold"),
     )
-    return points.unionByName(start)
 
 
 def min_dcf_of_curve(curve: DataFrame, p_spoof: float = P_SPOOF, c_miss: float = C_MISS, c_fa: float = C_FA) -> DataFrame:

@@ -51,11 +51,17 @@ def sample_manifest(rows: DataFrame, max_fake: int = 0, max_real: int = 0, seed:
     return fake.select(*rows.columns).unionByName(real.select(*rows.columns))
 
 
-def waveforms(spark: SparkSession, rows: DataFrame, max_seconds: float) -> DataFrame:
-    """Decoded audio of the manifest's files; what cannot be decoded has null samples."""
-    paths = [r["path"] for r in rows.select("path").collect()]  # a manifest: one short row per file
-    found = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.decode(found, normalise=False, permissive=True, most_seconds=max_seconds).withColumn("file_id", basename("file_id"))
+def waveforms(spark: SparkSession, rows: DataFrame, root: str, max_seconds: float) -> DataFrame:
+    """Decoded audio of the manifest's files below ``root``; what cannot be decoded has null samples.
+
+    The folder is read once and its files meet the manifest's paths in a join,
+    so no list of paths passes through the driver's Python.
+    """
+    plain = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731  a local path with and without its scheme
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    wanted = rows.select(plain("path").alias("_wanted")).distinct()
+    kept = found.join(wanted, plain("path") == F.col("_wanted"), "left_semi")
+    return files.decode(kept, normalise=False, permissive=True, most_seconds=max_seconds).withColumn("file_id", basename("file_id"))
 
 
 def clip_embeddings(audio: DataFrame, embed: str) -> DataFrame:
@@ -71,7 +77,7 @@ def features(spark: SparkSession, rows: DataFrame, config: TrainingConfig, name:
     """file_id, label, embedding, lfcc; zeros stand in for files that cannot be analysed."""
 
     def make(inputs: DataFrame) -> DataFrame:
-        audio = waveforms(spark, inputs, config.max_seconds).cache()
+        audio = waveforms(spark, inputs, config.data_root, config.max_seconds).cache()
         embedded = clip_embeddings(audio.drop("error"), config.embed)
         width = embedded.agg(F.max(F.size("embedding"))).first()[0] or 1
         out = detectors.lfcc(audio.drop("error"), permissive=True).join(embedded, "file_id", "left")

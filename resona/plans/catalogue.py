@@ -163,8 +163,7 @@ def window_aggregate(spark: SparkSession, d: str) -> DataFrame:
 
 @query(with_views(f"SELECT user_id, round(top3_mean, 6) AS top3_mean FROM ({_SUMMARY})", "window_scores"))
 def top3_mean(spark: SparkSession, d: str) -> DataFrame:
-    out = S.window_scores(spark, d).groupBy("user_id").agg(A.top3_mean(F.col("score")).alias("top3_mean"))
-    return rounded(out, "top3_mean")
+    return rounded(A.top3_mean(S.window_scores(spark, d), "user_id"), "top3_mean")
 
 
 @query(with_views(f"SELECT user_id, round(p90, 6) AS p90 FROM ({_SUMMARY})", "window_scores"))
@@ -518,11 +517,12 @@ def channel_score(spark: SparkSession, d: str) -> DataFrame:
 # --- fingerprints ------------------------------------------------------------
 
 
-@query("""SELECT CAST(label AS VARCHAR) AS source, dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(generate_series(0, 63)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY ALL""")
+@query("""WITH few AS (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || vec_id), CAST(vec_id AS VARCHAR)) AS k FROM embeddings)
+    SELECT CAST(label AS VARCHAR) AS source, dim, round(avg(x), 6) AS mean FROM (SELECT label, unnest(generate_series(0, 63)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM few WHERE k <= 500) GROUP BY ALL""")
 def residual_fit(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.fingerprints import fit
 
-    prints = fit(_vectors(spark, d), "source", "is_real", "vector")
+    prints = fit(_vectors(spark, d), "source", "is_real", "vector", "file_id")
     out = prints.select("source", F.posexplode("mean").alias("dim", "mean")).withColumn("dim", F.col("dim").cast("long"))
     return rounded(out, "mean")
 
@@ -539,7 +539,7 @@ def residual_score(spark: SparkSession, d: str) -> DataFrame:
     from ..operators.fingerprints import fit, score
 
     rows = _vectors(spark, d)
-    return rounded(score(rows, fit(rows, "source", "is_real", "vector"), "vector").select("file_id", "d_real", "d_fake", "score"), "d_real", "d_fake", "score", digits=4)
+    return rounded(score(rows, fit(rows, "source", "is_real", "vector", "file_id"), "vector").select("file_id", "d_real", "d_fake", "score"), "d_real", "d_fake", "score", digits=4)
 
 
 # --- explanation -------------------------------------------------------------

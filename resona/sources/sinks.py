@@ -7,6 +7,7 @@ import json
 import uuid
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,14 @@ def _system(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def _replace(spark: SparkSession, system, source, target) -> None:
+    """Renames over the target, so that it is there before, during and after."""
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    how = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    how[0] = fs.Options.Rename.OVERWRITE
+    fs.FileContext.getFileContext(system.getUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, system.makeQualified(target), how)
+
+
 def _publish(lines: DataFrame, path: str) -> None:
     """One text file: written beside its place, then renamed into it."""
     spark = lines.sparkSession
@@ -29,10 +38,10 @@ def _publish(lines: DataFrame, path: str) -> None:
         lines.coalesce(1).write.text(aside, lineSep="\n")
         part = next(s.getPath() for s in system.listStatus(folder) if s.getPath().getName().startswith("part-"))
         target, _ = _system(spark, path)
-        if system.exists(target):
-            system.delete(target, False)
-        if not system.rename(part, target):
-            raise RunnerError(f"cannot write {path}")
+        try:
+            _replace(spark, system, part, target)
+        except Exception as e:  # the store's errors come through as one of Py4J's
+            raise RunnerError(f"cannot write {path}") from e
         crc, _ = _system(spark, path.rpartition("/")[0] + "/." + path.rpartition("/")[2] + ".crc")
         if system.exists(crc):
             system.delete(crc, False)
@@ -51,7 +60,11 @@ def write_score_tsv(rows: DataFrame, path: str, order: list, digits: str = ".10g
         raise RunnerError(f"{checked['bad']} scores are not in 0..1, {checked['blank']} names are blank")
 
     # one line per file: text of a float as C's printf would give it
-    number = F.udf(lambda x: format(x, digits), "string") if digits.endswith("g") else (lambda c: F.format_string(f"%{digits}", c))
+    def text(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: format(v, digits))
+
+    printed = F.pandas_udf(text, "string")
+    number = printed if digits.endswith("g") else (lambda c: F.format_string(f"%{digits}", c))
     body = rows.select(F.struct(*order).alias("o"), F.concat_ws("\t", "filename", number(score)).alias("value"))
     lines = body.orderBy("o").select("value")
     if header:

@@ -27,7 +27,7 @@ def test_window_summary(spark):
     row = aggregate.window_summary(df, threshold=0.5).first()
     assert (row["mean"], row["max"], row["high_window_fraction"], row["n_windows"]) == (pytest.approx(0.5), 0.9, 0.5, 4)
     assert row["top3_mean"] == pytest.approx(1.9 / 3) and row["p90"] == pytest.approx(0.87)
-    assert df.groupBy("file_id").agg(aggregate.top3_mean(F.col("score")).alias("t")).first().t == pytest.approx(1.9 / 3)
+    assert aggregate.top3_mean(df, "file_id").first().top3_mean == pytest.approx(1.9 / 3)
 
 
 def test_local_features(spark):

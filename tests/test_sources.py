@@ -194,7 +194,7 @@ def test_fingerprints(spark):
     rng = np.random.default_rng(0)
     rows = [(f"{s}{i}", s, s == "real", (rng.normal(m, 1, 3)).tolist()) for s, m in (("real", 0), ("fake", 6)) for i in range(40)] + [("lost", "real", True, None)]
     df = spark.createDataFrame(rows, "file_id string, source string, is_real boolean, vector array<double>")
-    prints = fingerprints.fit(df.filter("vector IS NOT NULL"), "source", "is_real", "vector")
+    prints = fingerprints.fit(df.filter("vector IS NOT NULL"), "source", "is_real", "vector", "file_id")
     got = {r.file_id: r for r in fingerprints.score(df, prints, "vector").collect()}
     x = np.array([r[3] for r in rows if r[1] == "real" and r[3]])
     inv = np.linalg.inv(np.cov(x, rowvar=False) + 1e-6 * np.eye(3))
