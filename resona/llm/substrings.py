@@ -1,13 +1,14 @@
 """Exact-substring removal over a sparse, distributed suffix array.
 
-Every byte covered by a LENGTH-byte string that also starts elsewhere is found
-exactly, without sorting a suffix for each byte of the corpus:
-
-1. Windows of LENGTH bytes choose an anchor: the window's least GRAM-byte gram
-   by a mixed hash, the rightmost among equals.  The choice depends on the
-   window's bytes alone, so equal windows have equal anchors at equal places.
-   Consecutive windows mostly share an anchor; the run of windows of one
-   anchor occurrence covers one span of bytes.
+A text is a string of units: its bytes, or its words.  Every unit covered by a
+string of ``length`` units that also starts elsewhere is found exactly, without
+sorting a suffix for each unit of the corpus:
+
+1. Windows of ``length`` units choose an anchor: the window's least gram of
+   ``gram`` units by a mixed hash, the rightmost among equals.  The choice
+   depends on the window's units alone, so equal windows have equal anchors at
+   equal places.  Consecutive windows mostly share an anchor; the run of windows
+   of one anchor occurrence covers one span of units.
 2. Spans that occur twice settle all of their windows at once.  An anchor gram
    that occurs once settles its windows too: they are unique.
 3. What is left are grams that repeat within spans that differ, at the edges of
@@ -17,7 +18,8 @@ exactly, without sorting a suffix for each byte of the corpus:
    symbols, and buckets compare their first and last keys across boundaries,
    so a string that fills several buckets needs no single task.
 
-Equality of spans and windows is decided on 128 bits.
+Equality of spans and windows is decided on 128 bits.  Texts are hashed piece by
+piece, so that a text of any length takes a bounded multiple of its own size.
 """
 
 from __future__ import annotations
@@ -27,17 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stored, drop_path, partitions, release, scratch, text_key, whole_text
 
-#: Bytes of a string whose repeats are removed.
-LENGTH = 400
-#: Bytes of an anchor gram.
-GRAM = 200
+#: Bytes of a string whose repeats are removed, and of an anchor gram.
+LENGTH, GRAM = 400, 200
+#: Words of a passage whose repeats are removed, and of an anchor gram.
+WORDS, WORD_GRAM = 50, 20
 #: Windows that are hashed at once; longer texts go piece by piece.
 PIECE = 1 << 18
+#: Suffixes that a bucket holds on average at most.
+BUCKET = 1 << 21
 
 _BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 _U = np.uint64
@@ -58,30 +63,25 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _grown(cache: list[np.ndarray], which: int, base: np.uint64, n: int) -> np.ndarray:
-    if len(cache[which]) <= n:
-        cache[which] = _powers(base, max(1 << 16, 2 * n))
-    return cache[which]
-
-
 class Rolling:
-    """Polynomial hashes of any substring of one text, from prefix sums modulo 2**64.
+    """Polynomial hashes of any substring of a piece, from prefix sums modulo 2**64.
 
-    Bytes enter through a nonlinear table, as plain polynomials modulo a power
+    Units enter through a nonlinear code, as plain polynomials modulo a power
     of two have known collisions on structured inputs.  The bases are odd, so
     multiplying by base**-start makes hashes comparable wherever they stand.
     """
 
-    _table = [_mix(np.arange(256, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + s) for s in (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))]
     _power = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
     _inverse = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-    def __init__(self, data: np.ndarray, which: int):
-        n = len(data)
-        power = _grown(Rolling._power, which, _BASES[which], n)
-        self.inverse = _grown(Rolling._inverse, which, _U(pow(int(_BASES[which]), -1, 1 << 64)), n)
+    def __init__(self, codes: np.ndarray, which: int):
+        n = len(codes)
+        if len(Rolling._power[which]) <= n:  # grows to a piece, whatever the text
+            base, size = int(_BASES[which]), max(1 << 12, 2 * n)
+            Rolling._power[which], Rolling._inverse[which] = _powers(_U(base), size), _powers(_U(pow(base, -1, 1 << 64)), size)
+        self.inverse = Rolling._inverse[which]
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(Rolling._table[which][data] * power[:n], out=self.sums[1:])
+        np.cumsum(codes * Rolling._power[which][:n], out=self.sums[1:])
 
     def grams(self, start: int, many: int, gram: int) -> np.ndarray:
         """Hashes of the ``many`` grams from ``start`` on."""
@@ -97,6 +97,65 @@ def _pair(a: Rolling, b: Rolling, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return _mix(a.of(starts, ends) ^ (b.of(starts, ends) * _U(0x9E3779B97F4A7C15)))
 
 
+class Bytes:
+    """A text as a string of its bytes."""
+
+    _table = [_mix(np.arange(256, dtype=np.uint64) * _U(0x9E3779B97F4A7C15) + s) for s in (_U(0x243F6A8885A308D3), _U(0x13198A2E03707344))]
+
+    def __init__(self, text: bytes):
+        self.data = np.frombuffer(text, np.uint8)
+
+    def __len__(self) -> int:
+        return len(self.data)
+
+    def rolling(self, a: int, b: int) -> tuple[Rolling, Rolling]:
+        """Two independent hashes of the units a..b."""
+        return Rolling(Bytes._table[0][self.data[a:b]], 0), Rolling(Bytes._table[1][self.data[a:b]], 1)
+
+    def lead(self, at: np.ndarray) -> np.ndarray:
+        """The eight bytes from each unit on, as a number in their order."""
+        out = np.zeros(len(at), np.uint64)
+        for j in range(8):
+            out = out << _U(8) | self.data[at + j].astype(np.uint64)
+        return out
+
+    def extent(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in the text of the unit strings [a, b)."""
+        return a, b
+
+
+class Words:
+    """A text as a string of its words: runs of bytes other than ASCII white space."""
+
+    _space = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+
+    def __init__(self, text: bytes):
+        self.text = text
+        self.data = np.frombuffer(text, np.uint8)
+        space = np.concatenate([[True], Words._space[self.data], [True]])
+        self.starts = np.flatnonzero(space[:-1] & ~space[1:])
+        self.ends = np.flatnonzero(~space[:-1] & space[1:])
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def rolling(self, a: int, b: int) -> tuple[Rolling, Rolling]:
+        own = self.text[self.starts[a] : self.ends[min(b, len(self)) - 1]].split() if a < min(b, len(self)) else []
+        codes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own)), np.uint64).reshape(-1, 2)
+        return Rolling(codes[:, 0], 0), Rolling(codes[:, 1], 1)
+
+    def lead(self, at: np.ndarray) -> np.ndarray:
+        starts, ends, out = self.starts[at], self.ends[at], np.zeros(len(at), np.uint64)
+        for j in range(8):
+            there = starts + j < ends
+            out = out << _U(8) | np.where(there, self.data[np.where(there, starts + j, 0)], 0).astype(np.uint64)
+        return out
+
+    def extent(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """From the first word to the next word that stays, or to the end."""
+        return self.starts[a], np.append(self.starts, len(self.text))[b]
+
+
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
     """Least value of each ``width`` consecutive keys."""
     out, have = keys, 1
@@ -108,36 +167,36 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(units: Bytes | Words, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(gram hash, span hash, first window, last window) of each anchor occurrence."""
-    n = len(text)
-    if n < length:
-        e = np.zeros(0, np.int64)
-        return e.view(np.uint64), e.view(np.uint64), e, e
-    data = np.frombuffer(text, np.uint8)
-    width = length - gram + 1
-    windows = n - length + 1
-    a, b = Rolling(data, 0), Rolling(data, 1)
-    chosen = np.empty(windows, np.int64)
+    windows, width = len(units) - length + 1, length - gram + 1
     low = _U((1 << 20) - 1)
+    found: list[tuple[np.ndarray, ...]] = []
     for at in range(0, windows, PIECE):
-        many = min(PIECE, windows - at)
-        keys = a.grams(at, many + width - 1, gram) & ~low
+        # a run has at most ``width`` windows: one window before the piece and ``width`` after it tell its runs' ends
+        since, until = max(0, at - 1), min(windows, at + PIECE + width)
+        a, b = units.rolling(since, until + length - 1)
+        keys = a.grams(0, until - since + width - 1, gram) & ~low
         keys |= low - np.arange(len(keys), dtype=np.uint64)  # the rightmost among equals
-        chosen[at : at + many] = at + (low - (_least(keys, width) & low)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
-    last = np.concatenate([first[1:], [windows]]) - 1
-    place = chosen[first]
-    return a.of(place, place + gram), _pair(a, b, first, last + length) ^ (last - first).astype(np.uint64), first, last
-
-
-def _anchor_rows(length: int, gram: int):
+        chosen = (low - (_least(keys, width) & low)).astype(np.int64)
+        first = np.flatnonzero(np.concatenate([[since == at], chosen[1:] != chosen[:-1]]))
+        last = np.append(first[1:], until - since) - 1
+        own = since + first < at + PIECE
+        first, last = first[own], last[own]
+        place = chosen[first]
+        found.append((a.of(place, place + gram), _pair(a, b, first, last + length) ^ (last - first).astype(np.uint64), since + first, since + last))
+    if not found:
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def _anchor_rows(kind: type, length: int, gram: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, k1, k2, copies = (batch.column(c) for c in ("text", "k1", "k2", "copies"))
             got: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for i in range(batch.num_rows):
-                grams, spans, first, last = anchors(texts[i].as_buffer().to_pybytes(), length, gram)
+                grams, spans, first, last = anchors(kind(texts[i].as_buffer().to_pybytes()), length, gram)
                 if not len(grams):
                     continue
                 m = len(grams)
@@ -149,7 +208,22 @@ def _anchor_rows(length: int, gram: int):
     return rows
 
 
-def _window_rows(length: int):
+def windows_of(units: Bytes | Words, run: np.ndarray, w: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(lead, rest, weight, start) of the windows of the runs, piece by piece."""
+    order = np.argsort(run, kind="stable")
+    run, w = run[order], w[order]
+    heads = run >> 16
+    for at in range(0, len(units), PIECE):
+        lo, hi = np.searchsorted(heads, [at, at + PIECE])
+        if lo == hi:
+            continue
+        sizes = (run[lo:hi] & 0xFFFF) + 1
+        starts = np.repeat(heads[lo:hi] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+        a, b = units.rolling(at, min(len(units), int((heads[lo:hi] + sizes).max()) + length - 1))
+        yield units.lead(starts), _pair(a, b, starts - at, starts - at + length), np.repeat(w[lo:hi] - 1, sizes), starts
+
+
+def _window_rows(kind: type, length: int):
     """Texts with the runs to look at: a row (lead, rest, k1, place) for each window.
 
     place: k2's 32 bits above, 1 bit of the weight, 31 bits of the start.
@@ -160,21 +234,13 @@ def _window_rows(length: int):
             texts, k1, k2, runs = (batch.column(c) for c in ("text", "k1", "k2", "runs"))
             at, (run, w) = _flat(runs, "run", "w")
             for i in range(batch.num_rows):
-                data = np.frombuffer(texts[i].as_buffer().to_pybytes(), np.uint8)
-                own = run[at[i] : at[i + 1]]
-                sizes = (own & 0xFFFF) + 1
-                starts = np.repeat((own >> 16) - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-                weight = np.repeat(w[at[i] : at[i + 1]] - 1, sizes)
-                a, b = Rolling(data, 0), Rolling(data, 1)
-                lead = np.zeros(len(starts), np.uint64)
-                for j in range(8):
-                    lead = lead << _U(8) | data[starts + j].astype(np.uint64)
-                rest = _pair(a, b, starts, starts + length)
-                place = (_U(k2[i].as_py()) << _U(32) | (weight << 31 | starts).astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(lead.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(np.full(len(starts), k1[i].as_py())), pa.array(place)],
-                    ["lead", "rest", "k1", "place"],
-                )
+                own = slice(at[i], at[i + 1])
+                for lead, rest, weight, starts in windows_of(kind(texts[i].as_buffer().to_pybytes()), run[own], w[own], length):
+                    place = (_U(k2[i].as_py()) << _U(32) | (weight << 31 | starts).astype(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(lead.view(np.int64)), pa.array(rest.view(np.int64)), pa.array(np.full(len(starts), k1[i].as_py())), pa.array(place)],
+                        ["lead", "rest", "k1", "place"],
+                    )
 
     return rows
 
@@ -244,9 +310,13 @@ def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sorted_repeats(suffixes: DataFrame) -> DataFrame:
-    """(k1, k2, p) of every suffix row of weight 1 whose key occurs elsewhere."""
-    spark = suffixes.sparkSession
-    dealt = suffixes.repartitionByRange(partitions(spark), "lead", "rest", "k1", "place")
+    """(k1, k2, p) of every suffix row of weight 1 whose key occurs elsewhere.
+
+    Buckets are as many as the shuffle's partitions, or more where one would
+    hold over BUCKET suffixes on average.
+    """
+    buckets = max(partitions(suffixes.sparkSession), -(-suffixes.count() // BUCKET))
+    dealt = suffixes.repartitionByRange(buckets, "lead", "rest", "k1", "place")
     out = Stored(dealt.mapInArrow(_bucket, "lead long, rest long, k1 long, k2 long, p long, edge int, w long"), "suffix-buckets")
     # at most two rows a bucket meet here
     across = out.df.filter("edge = 2").groupBy("lead", "rest").agg(F.sum("w").alias("both")).filter("both > 1")
@@ -255,33 +325,38 @@ def sorted_repeats(suffixes: DataFrame) -> DataFrame:
 
 
 class Corpus:
-    """The distinct texts of a table, bucketed by their key in the shared folder."""
+    """The distinct texts of a table, bucketed by their key in the shared folder.
+
+    Only the catalogue keeps a table's buckets, so it is registered in a
+    database of its own, which goes with it.
+    """
 
     def __init__(self, docs: DataFrame):
         self.spark = docs.sparkSession
-        self.n = partitions(self.spark)
         self.path = scratch(self.spark, "texts")
-        self.name = "resona_" + self.path.rsplit("-", 1)[1]
+        self.database = "resona_" + self.path.rsplit("-", 1)[1]
         k1, k2 = text_key()
         raw = whole_text()
         distinct = docs.select(k1, k2, raw.alias("text")).groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
         distinct = distinct.select("k1", "k2", "copies", F.col("text").cast("binary").alias("text"))
-        distinct.write.format("parquet").option("compression", "zstd").option("path", self.path).bucketBy(self.n, "k1", "k2").saveAsTable(self.name)
-        self.df = self.spark.table(self.name)
+        self.spark.sql(f"CREATE DATABASE {self.database} LOCATION '{self.path}'")
+        writer = distinct.write.format("parquet").option("compression", "zstd").option("path", self.path + "/texts")
+        writer.bucketBy(partitions(self.spark), "k1", "k2").saveAsTable(f"{self.database}.texts")
+        self.df = self.spark.table(f"{self.database}.texts")
 
     def with_lists(self, lists: DataFrame, how: str) -> DataFrame:
         """The texts joined with one row of ``lists`` per key; the texts are not shuffled."""
         return self.df.join(lists.hint("shuffle_hash"), ["k1", "k2"], how)
 
     def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.spark.sql(f"DROP DATABASE IF EXISTS {self.database} CASCADE")
         drop_path(self.spark, self.path)
 
 
-def runs(corpus: Corpus, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def runs(corpus: Corpus, length: int = LENGTH, gram: int = GRAM, kind: type = Bytes) -> DataFrame:
     """(k1, k2, a, b): windows a..b of the text each repeat elsewhere.  All repeats are covered."""
     slim = corpus.df.select("k1", "k2", "copies", "text").filter(F.octet_length("text") >= length)
-    found = Stored(slim.mapInArrow(_anchor_rows(length, gram), "gram long, span long, k1 long, k2 long, run long, w long"), "anchors")
+    found = Stored(slim.mapInArrow(_anchor_rows(kind, length, gram), "gram long, span long, k1 long, k2 long, run long, w long"), "anchors")
     # one row for each span of each gram, with how often it occurs (2: twice or more) and one place of it
     spans = Stored(
         found.df.groupBy("gram", "span").agg(F.sum("w").alias("w"), F.min(F.struct("k1", "k2", "run")).alias("at")), "spans"
@@ -304,7 +379,7 @@ def runs(corpus: Corpus, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     spans.drop()
     release(corpus.spark)
     suffixes = Stored(
-        corpus.with_lists(lists.df, "inner").select("k1", "k2", "text", "runs").mapInArrow(_window_rows(length), "lead long, rest long, k1 long, place long"), "suffixes"
+        corpus.with_lists(lists.df, "inner").select("k1", "k2", "text", "runs").mapInArrow(_window_rows(kind, length), "lead long, rest long, k1 long, place long"), "suffixes"
     )
     release(corpus.spark)
     single = sorted_repeats(suffixes.df).select("k1", "k2", F.col("p").alias("a"), F.col("p").alias("b"))
@@ -314,7 +389,7 @@ def runs(corpus: Corpus, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
 
 
 def _covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal covered byte intervals [start, end) of a text with repeated windows a..b."""
+    """Maximal covered intervals [start, end) of a text's units with repeated windows a..b."""
     if not len(a):
         return a, b
     order = np.argsort(a, kind="stable")
@@ -323,7 +398,7 @@ def _covered(a: np.ndarray, b: np.ndarray, length: int) -> tuple[np.ndarray, np.
     return a[first], b[np.concatenate([first[1:], [len(a)]]) - 1]
 
 
-def _cut(length: int, with_text: bool):
+def _cut(kind: type, length: int, with_text: bool):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(7 if with_text else 6)]
@@ -333,6 +408,8 @@ def _cut(length: int, with_text: bool):
                 text = texts[i].as_buffer().to_pybytes()
                 own = slice(bound[i], bound[i + 1])
                 a, b = _covered(starts[own], ends[own], length)
+                if len(a):
+                    a, b = kind(text).extent(a, b)
                 if with_text:
                     a, b = whole_characters(text, a, b)
                 kept, at = [], 0
@@ -365,14 +442,14 @@ def whole_characters(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndar
     return np.array([p[0] for p in out], np.int64), np.array([p[1] for p in out], np.int64)
 
 
-def _removals(docs: DataFrame, length: int, gram: int, with_text: bool) -> DataFrame:
+def _removals(docs: DataFrame, length: int, gram: int, kind: type, with_text: bool) -> DataFrame:
     """One row per distinct text."""
     corpus = Corpus(docs)
     release(corpus.spark)
-    found = runs(corpus, length, gram)
+    found = runs(corpus, length, gram, kind)
     lists = found.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # bounded by the text itself
     schema = "k1 long, k2 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text
-    cut = Stored(corpus.with_lists(lists, "left").select("k1", "k2", "text", "runs").mapInArrow(_cut(length, with_text), schema), "cut")
+    cut = Stored(corpus.with_lists(lists, "left").select("k1", "k2", "text", "runs").mapInArrow(_cut(kind, length, with_text), schema), "cut")
     corpus.drop()
     release(corpus.spark)
     return cut.df
@@ -384,20 +461,25 @@ def repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
     A byte goes if a ``length``-byte string that covers it starts anywhere
     else too, in any row.  Null text counts as empty; texts shorter than
     ``length`` lose nothing; rows that repeat a text of at least ``length``
-    bytes lose all of it; an empty table gives no rows; other columns are ignored.
+    bytes lose all of it; a very long text is hashed piece by piece; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
-    cut = _removals(docs, length, gram, False)
+    cut = _removals(docs, length, gram, Bytes, False)
     keyed = docs.select("doc_id", *text_key())
     return keyed.join(cut, ["k1", "k2"]).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = WORDS, gram: int = WORD_GRAM, kind: type = Words) -> DataFrame:
     """The documents with the repeated passages cut out of text, and n_chars to match.
 
-    Cuts shrink to whole characters.  A document that is repeated whole keeps
-    its row with an empty text; null text stays null.
+    A passage is a string of ``length`` words (with ``kind`` Bytes: bytes) that
+    starts anywhere else too; white space between words does not tell passages
+    apart, and the white space after a cut goes with it.  Cuts of bytes shrink to
+    whole characters.  A document that is repeated whole keeps its row with an
+    empty text; null text stays null; an empty table gives no rows; other columns
+    stay as they are, whatever their names.
     """
-    cut = _removals(docs, length, gram, True).filter("n_spans > 0").select(F.col("k1").alias("__cut1"), F.col("k2").alias("__cut2"), F.col("kept").alias("__kept"))
+    cut = _removals(docs, length, gram, kind, True).filter("n_spans > 0").select(F.col("k1").alias("__cut1"), F.col("k2").alias("__cut2"), F.col("kept").alias("__kept"))
     k1, k2 = text_key()
     keyed = docs.withColumns({"__doc1": k1, "__doc2": k2})
     joined = keyed.join(cut, (F.col("__doc1") == F.col("__cut1")) & (F.col("__doc2") == F.col("__cut2")), "left")

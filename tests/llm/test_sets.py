@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -15,6 +18,7 @@ from resona.llm import components, mixing, nearcopies, packing, search, sharding
 
 from .conftest import make
 
+ROOT = Path(__file__).resolve().parents[2]
 
 def key(i):
     return -1 if i is None else i
@@ -163,9 +167,66 @@ def test_repeats_of_patchworks(spark, seed):
 def test_anchors_do_not_depend_on_pieces(monkeypatch):
     rng = np.random.default_rng(3)
     text = rng.integers(97, 101, 5000).astype(np.uint8).tobytes()
-    whole = [x.tolist() for x in substrings.anchors(text)]
+    spaced = text.replace(b"a", b" ")
+    whole = [[x.tolist() for x in found] for found in (substrings.anchors(substrings.Bytes(text)), substrings.anchors(substrings.Words(spaced), 50, 20))]
+    runs = np.array([w << 16 | 40 for w in range(0, 4500, 300)])
+    windows = [np.concatenate(x).tolist() for x in zip(*substrings.windows_of(substrings.Bytes(text), runs, runs % 2 + 1, 400), strict=True)]
     monkeypatch.setattr(substrings, "PIECE", 700)
-    assert [x.tolist() for x in substrings.anchors(text)] == whole
+    assert [x.tolist() for x in substrings.anchors(substrings.Bytes(text))] == whole[0]
+    monkeypatch.setattr(substrings, "PIECE", 90)
+    assert [x.tolist() for x in substrings.anchors(substrings.Words(spaced), 50, 20)] == whole[1]
+    assert [np.concatenate(x).tolist() for x in zip(*substrings.windows_of(substrings.Bytes(text), runs, runs % 2 + 1, 400), strict=True)] == windows
+
+
+def test_a_long_text_takes_little_memory():
+    """Its hashes go piece by piece: a text of 24 MB takes less than 500 MB."""
+    code = (
+        "import resource, numpy as np; from resona.llm import substrings as s;"
+        "text = np.random.default_rng(1).integers(97, 123, 24_000_000).astype(np.uint8).tobytes();"
+        "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; a = s.anchors(s.Bytes(text)); w = text.replace(b'e', b' ');"
+        "b = s.anchors(s.Words(w), 50, 20); assert len(a[0]) and len(b[0]);"
+        "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)"
+    )
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout) < 500
+
+
+def brute_passages(texts, length):
+    """The texts without the words of repeated strings of ``length`` words."""
+    lists = [re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts]
+    seen = Counter(tuple(w[p : p + length]) for w in lists for p in range(len(w) - length + 1))
+    out = []
+    for w in lists:
+        gone = {i for p in range(len(w) - length + 1) if seen[tuple(w[p : p + length])] > 1 for i in range(p, p + length)}
+        out.append([x.decode() for i, x in enumerate(w) if i not in gone])
+    return out
+
+
+def test_passages_match_brute_force(spark, odd, odd_rows, empty):
+    got = [(key(r.doc_id), (r.text or "").split(), r.text is None) for r in substrings.without_repeats(odd).collect()]
+    texts = [t for _, t, _ in odd_rows]
+    want = [(key(i), w, t is None) for (i, t, _), w in zip(odd_rows, brute_passages(texts, 50), strict=True)]
+    assert sorted(got) == sorted(want)
+    assert sum(1 for t, (_, w, _) in zip(texts, want, strict=True) if 0 < len(w) < len((t or "").split())) >= 4
+    assert substrings.without_repeats(empty).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_passages_of_patchworks(spark, seed):
+    rng = random.Random(seed)
+    pieces = [[rng.choice(["a", "b", "cc", "über"]) for _ in range(rng.randint(2, 14))] for _ in range(10)] + [["a"] * 30]
+    spaces = (" ", "\n", "\t ", "  ")
+    texts = ["".join(w + rng.choice(spaces) for _ in range(rng.randint(0, 9)) for w in rng.choice(pieces)) for _ in range(60)]
+    df = make(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.text.split() for r in substrings.without_repeats(df, length=12, gram=5).collect()}
+    assert got == dict(enumerate(brute_passages(texts, 12)))
+
+
+def test_cuts_leave_the_rest_as_it_is(spark):
+    passage = " ".join(f"w{i}" for i in range(51))
+    df = make(spark, [(1, f"first\n\n{passage} \n last  two", "s"), (2, passage.replace(" ", "\n"), "s"), (3, f"{passage[:-1]}9 end", "s")])
+    rows = {r.doc_id: r for r in substrings.without_repeats(df).collect()}
+    assert (rows[1].text, rows[1].n_chars, rows[2].text) == ("first\n\nlast  two", 16, "")
+    assert rows[3].text == f"{passage.split()[-1][:-1]}9 end"
 
 
 def test_multikey_order_sorts():
@@ -187,7 +248,7 @@ def test_bucket_edges_meet(spark):
 def test_cut_texts_stay_valid(spark):
     a, b = "é" * 300, "xé" * 150
     df = make(spark, [(1, "q" + a + b, "s"), (2, a + b + "ü", "s"), (3, None, "s"), (4, a, "s")])
-    rows = {r.doc_id: r for r in substrings.without_repeats(df).collect()}
+    rows = {r.doc_id: r for r in substrings.without_repeats(df, 400, 200, substrings.Bytes).collect()}
     assert rows[3].text is None and rows[3].n_chars is None
     assert rows[1].text == "q" and rows[2].text == "ü" and rows[1].n_chars == 1 and rows[4].text == ""
 
