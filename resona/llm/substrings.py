@@ -8,7 +8,8 @@ sorting a suffix for each unit of the corpus:
    ``gram`` units by a mixed hash, the rightmost among equals.  The choice
    depends on the window's units alone, so equal windows have equal anchors at
    equal places.  Consecutive windows mostly share an anchor; the run of windows
-   of one anchor occurrence covers one span of units.
+   of one anchor occurrence covers one span of units.  Where a text repeats a
+   short string over and over, its equal spans follow each other and are one row.
 2. Spans that occur twice settle all of their windows at once.  An anchor gram
    that occurs once settles its windows too: they are unique.
 3. What is left are grams that repeat within spans that differ, at the edges of
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -167,11 +169,27 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def anchors(units: Bytes | Words, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, span hash, first window, last window) of each anchor occurrence."""
+@dataclass
+class Anchors:
+    """The anchor occurrences of a text, equal ones in a row taken together."""
+
+    grams: np.ndarray  # hash of the anchor's gram
+    spans: np.ndarray  # hash of the span
+    first: np.ndarray  # first and last window of the first occurrence
+    last: np.ndarray
+    reach: np.ndarray  # last window of the last one
+    times: np.ndarray
+
+    def runs(self) -> np.ndarray:
+        """first, reach - last and last - first in one number each."""
+        return self.first << 32 | (self.reach - self.last) << 16 | (self.last - self.first)
+
+
+def anchors(units: Bytes | Words, length: int = LENGTH, gram: int = GRAM) -> Anchors:
+    """Each anchor occurrence of a text."""
     windows, width = len(units) - length + 1, length - gram + 1
     low = _U((1 << 20) - 1)
-    found: list[tuple[np.ndarray, ...]] = []
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for at in range(0, windows, PIECE):
         # a run has at most ``width`` windows: one window before the piece and ``width`` after it tell its runs' ends
         since, until = max(0, at - 1), min(windows, at + PIECE + width)
@@ -185,9 +203,14 @@ def anchors(units: Bytes | Words, length: int = LENGTH, gram: int = GRAM) -> tup
         first, last = first[own], last[own]
         place = chosen[first]
         found.append((a.of(place, place + gram), _pair(a, b, first, last + length) ^ (last - first).astype(np.uint64), since + first, since + last))
-    if not found:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    grams, spans, first, last = (np.concatenate(x) for x in zip(*found, strict=True))
+    n = len(grams)
+    fresh = np.ones(n, bool)
+    fresh[1:] = (grams[1:] != grams[:-1]) | (spans[1:] != spans[:-1])
+    nth = np.arange(n) - np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    heads = np.flatnonzero(nth % (0xFFFF // width) == 0)  # so that the reach fits its 16 bits
+    ends = np.append(heads, n)[1:]
+    return Anchors(grams[heads], spans[heads], first[heads], last[heads], last[ends - 1], ends - heads)
 
 
 def _anchor_rows(kind: type, length: int, gram: int):
@@ -196,12 +219,13 @@ def _anchor_rows(kind: type, length: int, gram: int):
             texts, k1, k2, copies = (batch.column(c) for c in ("text", "k1", "k2", "copies"))
             got: list[list[np.ndarray]] = [[], [], [], [], [], []]
             for i in range(batch.num_rows):
-                grams, spans, first, last = anchors(kind(texts[i].as_buffer().to_pybytes()), length, gram)
-                if not len(grams):
+                x = anchors(kind(texts[i].as_buffer().to_pybytes()), length, gram)
+                m = len(x.grams)
+                if not m:
                     continue
-                m = len(grams)
-                for into, x in zip(got, (grams.view(np.int64), spans.view(np.int64), np.full(m, k1[i].as_py()), np.full(m, k2[i].as_py()), first << 16 | (last - first), np.full(m, min(2, copies[i].as_py()))), strict=True):
-                    into.append(x)
+                columns = (x.grams.view(np.int64), x.spans.view(np.int64), np.full(m, k1[i].as_py()), np.full(m, k2[i].as_py()), x.runs(), np.minimum(2, x.times * copies[i].as_py()))
+                for into, c in zip(got, columns, strict=True):
+                    into.append(c)
             if got[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in got], ["gram", "span", "k1", "k2", "run", "w"])
 
@@ -212,7 +236,7 @@ def windows_of(units: Bytes | Words, run: np.ndarray, w: np.ndarray, length: int
     """(lead, rest, weight, start) of the windows of the runs, piece by piece."""
     order = np.argsort(run, kind="stable")
     run, w = run[order], w[order]
-    heads = run >> 16
+    heads = run >> 32
     for at in range(0, len(units), PIECE):
         lo, hi = np.searchsorted(heads, [at, at + PIECE])
         if lo == hi:
@@ -372,9 +396,10 @@ def runs(corpus: Corpus, length: int = LENGTH, gram: int = GRAM, kind: type = By
     )
     lists = Stored(lists, "open-runs")
     twice = spans.df.filter("w > 1").select(F.col("gram").alias("g"), F.col("span").alias("s"))
-    start = F.shiftright("run", 16)
+    start = F.shiftright("run", 32)
+    end = start + F.shiftright("run", 16).bitwiseAND(F.lit(0xFFFF)) + F.col("run").bitwiseAND(F.lit(0xFFFF))
     settled = found.df.join(twice, (F.col("gram") == F.col("g")) & (F.col("span") == F.col("s")), "left_semi")
-    settled = Stored(settled.select("k1", "k2", start.alias("a"), (start + F.col("run").bitwiseAND(F.lit(0xFFFF))).alias("b")), "settled-runs")
+    settled = Stored(settled.select("k1", "k2", start.alias("a"), end.alias("b")), "settled-runs")
     found.drop()
     spans.drop()
     release(corpus.spark)
