@@ -80,6 +80,11 @@ def text_key(column: str = "text") -> list[Column]:
     return [F.xxhash64(whole_text(column)).alias("k1"), F.crc32(whole_text(column).cast("binary")).alias("k2")]
 
 
+def piece_count(spark: SparkSession) -> int:
+    """Pieces that a group is ranked in: they grow with the shuffle, within bounds that keep the table of pieces small."""
+    return min(512, max(64, partitions(spark)))
+
+
 def spread_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], name: str, salts: int | None = None, salt: Column | None = None) -> DataFrame:
     """Adds ``name``: the row's 0-based gapless rank within ``group``.
 
@@ -90,7 +95,7 @@ def spread_rank(df: DataFrame, group: Sequence[str], order: Sequence[str], name:
     ``salt`` numbers the pieces instead of the hash; where it grows with
     ``order``, ranks follow ``order`` alone.
     """
-    salts = salts or max(64, partitions(df.sparkSession))
+    salts = salts or piece_count(df.sparkSession)
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int") if salt is None else salt.cast("int"))
     keys = [*group, "_salt"]
     before = Window.partitionBy(*group).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)

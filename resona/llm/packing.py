@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing
-from .common import Stored, partitions, release, spread_rank, text_key
+from .common import Stored, partitions, piece_count, release, spread_rank, text_key
 
 CAPACITY = 2048
 END_ID = 0
@@ -385,7 +385,7 @@ def _sequences(spark: SparkSession, layouts: list[tuple[tuple[int, ...], int]])
     rows = [(at, list(layout), times, a, min(a + COPIES, times)) for at, (layout, times) in enumerate(layouts) for a in range(0, times, COPIES)]
     chunks = spark.createDataFrame(rows, "layout int, lengths array<long>, times long, a long, b long").repartition(partitions(spark))
     copies = chunks.withColumn("i", F.explode(F.sequence("a", F.col("b") - 1))).withColumn("at", (F.col("i") + F.col("layout") * GOLDEN % 1) / F.col("times"))
-    salts = max(64, partitions(spark))
+    salts = piece_count(spark)
     ranked = spread_rank(copies.select("layout", "lengths", "at"), [], ["at", "layout"], "sequence_id", salt=F.floor(F.col("at") * salts))
     placed = ranked.select("sequence_id", "lengths", F.posexplode("lengths").alias("n", "length"))
     before = F.aggregate(F.slice("lengths", 1, F.col("n")), F.lit(0).cast("long"), lambda a, x: a + x)
@@ -403,7 +403,7 @@ def pack_mixed(docs: DataFrame, weights: Mapping[str, float] | None = None, toke
     release(spark)
     found = cut.df.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.max("position").alias("last")).collect()  # at most `capacity` rows
     layouts = plan({r["length"]: r["n"] for r in found}, capacity)
-    salts = max(64, partitions(spark))
+    salts = piece_count(spark)
 
     def ranked(rows: DataFrame, order: list[str], size: int) -> DataFrame:
         return spread_rank(rows, ["length"], order, "_rank", salt=F.floor(F.col(order[0]) * salts / size))
