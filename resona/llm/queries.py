@@ -74,4 +74,5 @@ ORACLES: dict[str, str] = {
     SELECT any_value(d.doc_id) AS doc_id, any_value(len(h) // 2) AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans,
         sha256(unhex(coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') || substr(any_value(h), CAST(2 * coalesce(max(b), 0) + 1 AS BIGINT)))) AS kept_sha256
     FROM d LEFT JOIN k ON k.r = d.r GROUP BY d.r""",
+    "op8_search": search.ORACLE,
 }
