@@ -3,8 +3,8 @@
 Documents become token ids and an end id; only those longer than a sequence are
 cut.  What is packed is the histogram of piece lengths, at most CAPACITY
 numbers whatever the size of the corpus: for the longest open piece, hash
-indexes of single lengths, of pair sums and of triple sums give combinations
-that fill its gap exactly, consumed in bulk under the counts still available;
+indexes of single lengths, of pair sums and of triple sums, built once, give
+combinations that fill its gap exactly, consumed in bulk under the counts still available;
 what has no exact complement is packed best-fit decreasing.  The plan is a list
 of layouts with multiplicities.  Pieces then take places by their rank among
 the pieces of their length.
@@ -17,6 +17,7 @@ so that the first sequences hold the first places of every length.
 from __future__ import annotations
 
 import bisect
+import json
 import struct
 import unicodedata
 import zlib
@@ -38,8 +39,16 @@ REMEMBERED = 300_000
 COPIES = 4096
 #: Multiples of it, modulo 1, are spread evenly.
 GOLDEN = 0.6180339887498949
-#: The word pattern of the tokenizer, applied to normalised text.
+#: The word pattern of a lower-casing byte-level tokenizer, applied to normalised text, and its parts.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": WORDS}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+    "truncation": None, "padding": None, "post_processor": None,
+}
 
 _ENCODERS: dict[str, Callable[[str], bytes]] = {}
 
@@ -74,13 +83,25 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
+def remembers_words(path: str) -> bool:
+    """Whether the tokenizer's parts are those under which ids of words can be remembered."""
+    with open(path, encoding="utf-8") as f:
+        read = json.load(f)
+    model = read["model"]
+    return (
+        all(read.get(k) == v for k, v in PARTS.items()) and model.get("type") == "BPE" and not model.get("dropout")
+        and all(t["content"].startswith("<|") for t in read.get("added_tokens", ()))
+    )
+
+
 def encoder(path: str) -> Callable[[str], bytes]:
-    """Text to ids (little-endian unsigned 32-bit) under a byte-level tokenizer of lower-cased words.
+    """Text to ids (little-endian unsigned 32-bit) under the tokenizer of a file.
 
-    Such a tokenizer never joins across white space, so ids of white-space
-    separated chunks, and of their words, are remembered by each worker.  Texts
-    with characters whose normal form, case or spacing Python may see
-    differently go through the tokenizer whole.
+    A byte-level tokenizer of lower-cased words (``remembers_words``) never joins
+    across white space, so ids of white-space separated chunks, and of their
+    words, are remembered by each worker.  Texts with characters whose normal
+    form, case or spacing Python may see differently, and all texts under any
+    other tokenizer, go through the tokenizer whole.
     """
     if path in _ENCODERS:
         return _ENCODERS[path]
@@ -100,6 +121,10 @@ def encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    if not remembers_words(path):
+        _ENCODERS[path] = encode
+        return encode
+
     def word(w: str) -> bytes:
         ids = words.get(w)
         if ids is None:
@@ -178,18 +203,46 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     )
 
 
+def _grouped(sums: np.ndarray, members: np.ndarray) -> dict[int, np.ndarray]:
+    """The members of each sum, largest first."""
+    order = np.lexsort((-members, sums))
+    sums, members = sums[order], members[order]
+    heads = np.flatnonzero(np.concatenate([[True], sums[1:] != sums[:-1]])) if len(sums) else np.zeros(0, np.int64)
+    return dict(zip(sums[heads].tolist(), np.split(members, heads[1:]), strict=True)) if len(sums) else {}
+
+
 class _Open:
-    """Lengths still available, and combinations of them that have an exact sum."""
+    """Lengths still available, and hash indexes of what they add up to.
 
-    def __init__(self, counts: Mapping[int, int]):
+    ``pairs`` maps a sum to the larger lengths of the pairs that have it,
+    ``triples`` to the largest lengths of the triples.  Lengths that are used up
+    never return, so entries that need them are dropped when they are met.
+    """
+
+    def __init__(self, counts: Mapping[int, int], capacity: int):
         self.counts = {n: c for n, c in counts.items() if c > 0}
         self.lengths = sorted(self.counts)
+        have = np.array(self.lengths, np.int64)
+        self.available = np.zeros(capacity + 1, bool)
+        self.available[have] = True
+        reached = np.zeros(capacity + 1, bool)  # sums of pairs of lengths up to the one at hand
+        pairs, triples = [], []
+        for at, a in enumerate(self.lengths):
+            two = a + have[: at + 1]
+            two = two[two < capacity]
+            pairs.append((two, np.full(len(two), a)))
+            reached[two] = True
+            three = np.flatnonzero(reached[: max(0, capacity - a)]) + a
+            triples.append((three, np.full(len(three), a)))
+        none = [(np.zeros(0, np.int64),) * 2]
+        self.pairs, self.triples = (_grouped(*(np.concatenate(x) for x in zip(*(found or none), strict=True))) for found in (pairs, triples))
 
     def take(self, layout: tuple[int, ...], times: int) -> None:
         for n in layout:
             self.counts[n] -= times
             if not self.counts[n]:
                 del self.counts[n]
+                self.available[n] = False
                 self.lengths.pop(bisect.bisect_left(self.lengths, n))
 
     def times(self, layout: tuple[int, ...]) -> int:
@@ -202,30 +255,36 @@ class _Open:
     def single(self, first: int, gap: int) -> tuple[int, ...] | None:
         return (first, gap) if self.times((first, gap)) else None
 
+    def pairs_of(self, total: int) -> np.ndarray:
+        """Larger lengths of the pairs of this sum that are still available."""
+        found = self.pairs.get(total)
+        if found is None:
+            return np.zeros(0, np.int64)
+        self.pairs[total] = found = found[self.available[found] & self.available[total - found]]
+        return found
+
     def pair(self, first: int, gap: int) -> tuple[int, ...] | None:
-        """Largest length whose complement to the gap is available too."""
-        for at in range(bisect.bisect_left(self.lengths, gap) - 1, -1, -1):
-            a = self.lengths[at]
-            if 2 * a < gap:
-                return None
-            if gap - a in self.counts and self.times(layout := (first, a, gap - a)):
+        """The pair with the largest length that fills the gap."""
+        for a in self.pairs_of(gap).tolist():
+            if self.times(layout := (first, a, gap - a)):
                 return layout
         return None
 
     def triple(self, first: int, gap: int) -> tuple[int, ...] | None:
-        """Largest length whose gap a pair fills."""
-        for at in range(bisect.bisect_left(self.lengths, gap) - 1, -1, -1):
-            a = self.lengths[at]
-            if 3 * a < gap:
-                return None
-            rest = gap - a
-            for bt in range(min(at, bisect.bisect_left(self.lengths, rest) - 1), -1, -1):
-                b = self.lengths[bt]
-                if 2 * b < rest:
-                    break
-                if rest - b in self.counts and self.times(layout := (first, a, b, rest - b)):
-                    return layout
-        return None
+        """The triple with the largest lengths that fills the gap."""
+        found = self.triples.get(gap, np.zeros(0, np.int64))
+        lost = []
+        layout = None
+        for a in found[self.available[found]].tolist():
+            rest = self.pairs_of(gap - a)
+            rest = rest[rest <= a]
+            if not len(rest):
+                lost.append(a)
+            layout = next((x for b in rest.tolist() if self.times(x := (first, a, b, gap - a - b))), None)
+            if layout:
+                break
+        self.triples[gap] = found[self.available[found] & ~np.isin(found, lost)]
+        return layout
 
 
 def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
@@ -235,7 +294,7 @@ def plan(counts: Mapping[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     counts allow, so each step uses up a length.  Pieces without an exact
     complement go best-fit decreasing into the fullest sequence they fit.
     """
-    open_ = _Open(counts)
+    open_ = _Open(counts, capacity)
     out: list[tuple[tuple[int, ...], int]] = []
     residual: dict[int, int] = {}
     while open_.lengths:
@@ -334,8 +393,8 @@ def _places(segments: dict[str, np.ndarray]):
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null text counts as empty and packs as the end id alone; rows that repeat a
-    doc_id or a text are packed each; ties among equal lengths go by (doc_id,
+    Null text counts as empty and packs as the end id alone; a very long one is
+    cut into pieces; rows that repeat a doc_id or a text are packed each; ties among equal lengths go by (doc_id,
     piece, ids_crc32); an empty table gives no rows; other columns are ignored.
     """
     cut = Stored(pieces(docs, tokenizer, capacity), "pieces")
