@@ -4,6 +4,8 @@ Records hash into a fixed number of virtual slots; bytes are summed per slot;
 a versioned slot-to-shard map says where each slot lives.  Rebalancing never
 touches the hash: it edits the map, moving the fewest heavy slots from shards
 above the mean to the lightest ones, and stores the edit as the next version.
+A folder that the caller names keeps all versions; the newest complete one holds,
+and a run that moves nothing leaves it as it is.
 
 The slot table has ``slots`` rows whatever the size of the input, so it is the
 one thing that is folded in a single row and broadcast.
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, whole_text
+from .common import Stored, scratch, whole_text
 
 #: Virtual slots; fixed for the life of a data set, far above any shard count.
 SLOTS = 4096
@@ -87,27 +89,70 @@ def rebalance(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
     return one.select("version", F.explode(F.concat("kept", moved)).alias("m")).select("version", "m.vslot", "m.shard")
 
 
-def store_map(slot_map: DataFrame, name: str = "slot-map") -> DataFrame:
-    """Writes a version of the map to the shared folder and reads it back."""
-    return Stored(slot_map.coalesce(1), name).df
+def versions(spark: SparkSession, folder: str) -> list[int]:
+    """Versions of the map that are complete in the folder, oldest first."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(folder)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(top):
+        return []
+    names = [s.getPath().getName() for s in system.listStatus(top)]
+    return sorted(int(n.removeprefix("version-")) for n in names if n.startswith("version-") and system.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS")))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame:
+    """A version of the map (version, vslot, shard), the newest unless named."""
+    known = versions(spark, folder)
+    if not known or (version is not None and version not in known):
+        raise ValueError(f"no version {version or 'of the map'} in {folder}")
+    return spark.read.schema("version int, vslot int, shard int").parquet(f"{folder}/version-{version or known[-1]}")
+
+
+def store_map(slot_map: DataFrame, folder: str, version: int) -> DataFrame:
+    """Keeps the map as a version of the folder, which must not have it yet, and reads it back."""
+    spark = slot_map.sparkSession
+    known = versions(spark, folder)
+    if known and version <= known[-1]:
+        raise ValueError(f"version {version} is there already")
+    # what a lost driver left incomplete is written over; complete versions never change
+    slot_map.select(F.lit(version).alias("version"), "vslot", "shard").coalesce(1).write.mode("overwrite").parquet(f"{folder}/version-{version}")
+    return load_map(spark, folder, version)
+
+
+def balanced_map(loads: DataFrame, shards: int, folder: str, slots: int = SLOTS) -> DataFrame:
+    """The folder's newest map after rebalancing it for the measured ``loads``.
+
+    An empty folder gets version 1, slots dealt round robin.  The rebalanced map
+    is stored as the next version if a slot moves.
+    """
+    spark = loads.sparkSession
+    known = versions(spark, folder)
+    now = load_map(spark, folder) if known else store_map(first_map(spark, shards, slots), folder, 1)
+    edited = Stored(rebalance(now, loads, shards).coalesce(1), "slot-map")
+    moved = not edited.df.select("vslot", "shard").exceptAll(now.select("vslot", "shard")).isEmpty()
+    out = store_map(edited.df, folder, (known[-1] if known else 1) + 1) if moved else now
+    edited.drop()
+    return out
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """Puts every row into one of ``shards`` by law ``bytes``.
 
+    The map comes from ``folder``, where the rebalanced one is kept for the next
+    run; without a folder it starts anew and goes with the application.
+
     Returns doc_id, size (UTF-8 bytes + 16), text_crc32, law, shard, slot (the
     row's place in its shard, gapless from 0), grown_shard (null under this
     law), vslot and map_version.
 
-    Null text counts as empty; a null doc_id hashes by content; equal rows are
-    kept apart and take neighbouring places; an empty table gives no rows;
-    other columns are ignored.
+    Null text counts as empty, a very long one makes its slot heavy; a null doc_id
+    hashes by content; equal rows are kept apart and take neighbouring places; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     records = sized(docs, slots)
     loads = Stored(slot_bytes(records).coalesce(1), "slot-bytes").df
-    versions = store_map(first_map(spark, shards, slots).unionByName(rebalance(first_map(spark, shards, slots), loads, shards)))
-    newest = versions.join(F.broadcast(versions.agg(F.max("version").alias("version"))), "version")
+    newest = balanced_map(loads, shards, folder or scratch(spark, "slot-maps"), slots)
     before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         newest.join(F.broadcast(loads), "vslot", "left").fillna(0, ["slot_rows"])
