@@ -6,8 +6,8 @@ deadline first among the released blocks keeps every source within one block
 of its share at every prefix of the mix.
 
 Weights are taken as the exact fractions that the floats stand for, so nothing
-is rounded however long the mix is; the driver keeps 12 bytes a block.  When a
-source runs dry a new phase begins, with the weights of the others scaled up;
+is rounded however long the mix is; the driver keeps 12 bytes a block, of
+MOST_BLOCKS blocks at most.  When a source runs dry a new phase begins, with the weights of the others scaled up;
 no row is dropped or repeated.  Where a number of quanta is asked for, weights
 are rounded to multiples of 1/quanta instead, and one period is tiled.
 """
@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 from .common import spread_rank, text_key
 
-#: Rows of a block.
+#: Rows of a block at least, and blocks of a plan at most: beyond BLOCK * MOST_BLOCKS rows blocks grow, so that the
+#: plan, which is worked out on the driver and broadcast, stays below 12 MB.
 BLOCK = 32
+MOST_BLOCKS = 1 << 20
 #: Slots of a period where weights are rounded to multiples of 1/quanta.
 QUANTA = 1024
 #: Blocks of a source whose slots travel in one row.
@@ -162,7 +164,7 @@ def temperature_weights(rows: Mapping[str, int], exponent: float = 0.5) -> dict[
 def mix(
     docs: DataFrame,
     weights: Mapping[str, float] | None = None,
-    block: int = BLOCK,
+    block: int | None = None,
     quanta: int | None = None,
     exponent: float = 0.5,
     payload: tuple[str, ...] = (),
@@ -174,10 +176,13 @@ def mix(
     ``weights`` maps each source to its target; a missing source gets the
     smallest of them; without any, weights follow rows ** ``exponent``.
     ``quanta`` rounds the weights to its multiples; without it they are exact.
+    A block has ``block`` rows, without it BLOCK, or more in tables of over
+    BLOCK * MOST_BLOCKS rows.
 
     A null source is a source of its own; null or repeated doc_ids keep their
-    rows; an empty table gives no rows; more than 512 sources, and negative or
-    infinite weights, raise ValueError.
+    rows; texts, however long, only break ties; an empty table gives no rows;
+    other columns, whatever their names, stay out unless they are payload; more
+    than 512 sources, and negative or infinite weights, raise ValueError.
     """
     kept = [F.col(f"`{c}`").alias(f"_p{i}") for i, c in enumerate(payload)]  # a payload may share a name with the plan
     placed = place(docs.select("doc_id", "source", *text_key(), *kept), weights, block, quanta, exponent)
@@ -186,7 +191,7 @@ def mix(
 
 
 def place(
-    rows: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK, quanta: int | None = None, exponent: float = 0.5
+    rows: DataFrame, weights: Mapping[str, float] | None = None, block: int | None = None, quanta: int | None = None, exponent: float = 0.5
 ) -> DataFrame:
     """Rows (doc_id, source, the text's key k1 and k2, any others) with their block, slot, phase, position and target_weight."""
     spark = rows.sparkSession
@@ -195,6 +200,7 @@ def place(
     counts = {r["_src"]: r["n"] for r in rows.groupBy("_src").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(counts) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
+    block = block or max(BLOCK, -(-sum(counts.values()) // (MOST_BLOCKS - MAX_SOURCES)))
     if weights is None:
         target = temperature_weights(counts, exponent)
     else:
@@ -234,7 +240,11 @@ def place(
 
 
 def mixed_documents(docs: DataFrame, weights: Mapping[str, float] | None = None) -> DataFrame:
-    """The documents, all columns, partitioned and sorted in the order of the mix."""
+    """The documents, all columns, partitioned and sorted in the order of the mix.
+
+    Null, empty and very long texts, null sources, repeated rows and columns of
+    any name stay as they are; an empty table gives no rows.
+    """
     carried = [c for c in docs.columns if c not in ("doc_id", "source")]
     # carried columns travel under numbers, as they may share a name with the plan's
     named = docs.select("doc_id", "source", "text", *[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(carried)])
