@@ -5,8 +5,9 @@ in at most two bits differ in at most two bytes, so they share at least
 MATCHES = 6 of the eight positional bytes.  A posting list for one positional
 byte would hold 1/256 of all fingerprints; the index is therefore keyed by
 sets of six positional bytes (28 sets), whose lists hold at most 2**16 distinct
-fingerprints.  A pair meets in a list exactly when its tally of shared
-positional bytes reaches the guaranteed minimum; it is then verified on bits.
+fingerprints.  A pair meets in a list only if it shares these six, so no pair
+below the minimum is ever met; the tally of all shared positional bytes is then
+counted, pairs below the minimum go, and the others are verified on bits.
 
 Within a list no pairs are written: fingerprints are linked by a spanning
 forest, at most one link per fingerprint.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nearcopies
-from .common import Stored, release, text_key
+from .common import Stored, partitions, release, text_key
 from .components import components
 
 WORDS = 3
@@ -83,6 +84,18 @@ def _byte_sets() -> list[tuple[int, int]]:
 _NEAR = np.array([0] + [1 << i for i in range(64)] + [1 << i | 1 << j for i, j in combinations(range(64), 2)], dtype=np.uint64)
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many positional bytes the fingerprints share."""
+    apart = np.asarray(a ^ b, np.uint64).reshape(-1, 1).view(np.uint8)
+    return BYTES - np.count_nonzero(apart, axis=1)
+
+
+def linked(a: np.uint64, others: np.ndarray) -> np.ndarray:
+    """Which of the others link to ``a``: enough shared positional bytes, then few enough differing bits."""
+    near = np.flatnonzero(tally(a, others) >= MATCHES)
+    return near[np.bitwise_count(others[near] ^ a) <= BITS]
+
+
 def forest(prints: np.ndarray) -> list[tuple[int, int]]:
     """Links that span the components of distinct ``prints`` under at most BITS differing bits.
 
@@ -109,8 +122,7 @@ def forest(prints: np.ndarray) -> list[tuple[int, int]]:
 
     if n <= 128:
         for i in range(n - 1):
-            apart = np.bitwise_count(prints[i + 1 :] ^ prints[i])
-            for j in np.flatnonzero(apart <= BITS).tolist():
+            for j in linked(prints[i], prints[i + 1 :]).tolist():
                 join(i, i + 1 + j)
     else:
         vary = np.bitwise_or.reduce(prints ^ prints[0])
@@ -138,7 +150,7 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v: list[int] = []
         for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if b - a == 2:
-                if int(flat[a] ^ flat[a + 1]).bit_count() <= BITS:
+                if len(linked(flat[a], flat[a + 1 : a + 2])):
                     u.append(int(flat[a]))
                     v.append(int(flat[a + 1]))
                 continue
@@ -153,9 +165,9 @@ def _lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(prints: DataFrame) -> DataFrame:
     """Spanning links (u, v) between the distinct values of column fp."""
     sets = F.array(*[F.struct(F.lit(n).alias("set"), F.lit(m).cast("long").alias("mask")) for n, m in _byte_sets()])
+    distinct = prints.select("fp").distinct().repartition(partitions(prints.sparkSession))  # 8 bytes each; the lists below are 28 times as many rows
     postings = (
-        prints.select("fp").distinct()
-        .select("fp", F.explode(sets).alias("s"))
+        distinct.select("fp", F.explode(sets).alias("s"))
         .select("fp", F.col("s.set").cast("byte").alias("byte_set"), F.col("fp").bitwiseAND(F.col("s.mask")).alias("bytes"))
     )
     lists = postings.groupBy("byte_set", "bytes").agg(F.collect_list("fp").alias("prints")).filter(F.size("prints") > 1)
@@ -166,8 +178,9 @@ def classes(docs: DataFrame) -> DataFrame:
     """Every row's doc_id, text key, fp, root (smallest print of its class) and component_id.
 
     component_id is the smallest non-null doc_id of the class, null where it
-    has none.  Null and empty texts have print 0 and link like any other;
-    repeated rows keep their count; an empty table gives no rows.
+    has none.  Null and empty texts have print 0 and link like any other; very
+    long texts are read piece by piece; repeated rows keep their count; an empty
+    table gives no rows; other columns are ignored, whatever their names.
     """
     prints = Stored(fingerprints(docs), "simhash")
     return _linked(prints, Stored(links(prints.df), "simhash-links"))
