@@ -2,12 +2,13 @@
 
 Everything that must outlive a lost executor is written as Parquet below the
 folder the cluster names in ``spark.checkpoint.dir``; a private folder is made
-only where that setting is absent (unit tests on a single machine).
+only where that setting is absent and the master is local (unit tests).
 """
 
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -19,11 +20,20 @@ _OWN_DIR: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
+    """The folder that driver and executors share.
+
+    ``spark.checkpoint.dir`` names it, or else ``setCheckpointDir``; a private
+    folder stands in only where driver and executors are one process.
+    """
     global _OWN_DIR
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named:
+        set_by_call = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = set_by_call.get() if set_by_call.isDefined() else None
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     if _OWN_DIR is None:
         _OWN_DIR = "file://" + tempfile.mkdtemp(prefix="resona-")
     return _OWN_DIR

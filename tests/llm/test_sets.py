@@ -1,6 +1,7 @@
 """Operators that decide over the whole set: SimHash, repeats, sharding, mixing, packing, search."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -127,6 +128,12 @@ def test_one_of_each_keeps_columns(odd, odd_rows, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_tally_counts_shared_bytes():
+    a, others = np.uint64(0x0102030405060708), np.array([0x0102030405060708, 0x0102030405060709, 0x01020304050607F8, 0x0102030404060709, 0x0002020405060708, 0x0002020404060708], np.uint64)
+    assert simhash.tally(a, others).tolist() == [8, 7, 7, 6, 6, 5]
+    assert simhash.linked(a, others).tolist() == [0, 1, 3, 4]
+
+
 # --- repeats -----------------------------------------------------------------
 
 
@@ -168,23 +175,38 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
     rng = np.random.default_rng(3)
     text = rng.integers(97, 101, 5000).astype(np.uint8).tobytes()
     spaced = text.replace(b"a", b" ")
-    whole = [[x.tolist() for x in found] for found in (substrings.anchors(substrings.Bytes(text)), substrings.anchors(substrings.Words(spaced), 50, 20))]
-    runs = np.array([w << 16 | 40 for w in range(0, 4500, 300)])
+    found = lambda units, *sizes: {k: v.tolist() for k, v in vars(substrings.anchors(units, *sizes)).items()}
+    whole = found(substrings.Bytes(text)), found(substrings.Words(spaced), 50, 20)
+    assert len(whole[0]["grams"]) > 20 and len(whole[1]["grams"]) > 20
+    runs = np.array([w << 32 | 40 for w in range(0, 4500, 300)])
     windows = [np.concatenate(x).tolist() for x in zip(*substrings.windows_of(substrings.Bytes(text), runs, runs % 2 + 1, 400), strict=True)]
     monkeypatch.setattr(substrings, "PIECE", 700)
-    assert [x.tolist() for x in substrings.anchors(substrings.Bytes(text))] == whole[0]
+    assert found(substrings.Bytes(text)) == whole[0]
     monkeypatch.setattr(substrings, "PIECE", 90)
-    assert [x.tolist() for x in substrings.anchors(substrings.Words(spaced), 50, 20)] == whole[1]
+    assert found(substrings.Words(spaced), 50, 20) == whole[1]
     assert [np.concatenate(x).tolist() for x in zip(*substrings.windows_of(substrings.Bytes(text), runs, runs % 2 + 1, 400), strict=True)] == windows
 
 
+def test_equal_spans_in_a_row_are_one(spark):
+    """A text of one pair of words, or of one line, over and over has few anchors however long it is."""
+    pair, line = b"ab cd " * 400_000, (b"x" * 150 + b"\n") * 6000
+    for found, windows in ((substrings.anchors(substrings.Words(pair), 50, 20), 800_000 - 49), (substrings.anchors(substrings.Bytes(line)), len(line) - 399)):
+        assert len(found.grams) < windows / 1000 and found.first[0] == 0 and found.reach[-1] == windows - 1
+        assert (found.first[1:] == found.reach[:-1] + 1).all() and found.times.max() > 100 and (found.reach - found.last).max() <= 0xFFFF
+    texts = ["ab cd " * 300, "zz " + "ab cd " * 40, "ab " * 49, "line of five words here " * 30 + "end", "q " * 500 + "r " * 500]
+    df = make(spark, [(i, t, "s") for i, t in enumerate(texts)])
+    assert {r.doc_id: r.text.split() for r in substrings.without_repeats(df).collect()} == dict(enumerate(brute_passages(texts, 50)))
+    got = sorted((r.doc_id, *r[1:]) for r in substrings.repeats(df, 60, 20).collect())
+    assert got == [(i, *b) for i, b in enumerate(brute_repeats([t.encode() for t in texts], 60))]
+
+
 def test_a_long_text_takes_little_memory():
     """Its hashes go piece by piece: a text of 24 MB takes less than 500 MB."""
     code = (
         "import resource, numpy as np; from resona.llm import substrings as s;"
         "text = np.random.default_rng(1).integers(97, 123, 24_000_000).astype(np.uint8).tobytes();"
         "base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; a = s.anchors(s.Bytes(text)); w = text.replace(b'e', b' ');"
-        "b = s.anchors(s.Words(w), 50, 20); assert len(a[0]) and len(b[0]);"
+        "b = s.anchors(s.Words(w), 50, 20); assert len(a.grams) and len(b.grams);"
         "print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - base) // 1024)"
     )
     assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=ROOT).stdout) < 500
@@ -280,6 +302,29 @@ def test_shards_are_near_equal(spark, small):
     assert max(load.values()) - min(load.values()) < 0.05 * sum(load.values()) / 8
 
 
+def test_the_map_is_kept_and_edited(spark, tmp_path):
+    """Runs over the same folder: the map is taken up, edited where loads have changed, and every version stays."""
+    folder = f"file://{tmp_path}/maps"
+    rng = random.Random(31)
+    base = [(i, "x" * rng.randint(1, 400), "s") for i in range(1500)]
+    run = lambda rows, shards=6: {r.doc_id: (r.shard, r.map_version) for r in sharding.shard_documents(make(spark, rows), shards, 256, folder).collect()}
+    first = run(base)
+    known = sharding.versions(spark, folder)
+    assert known == [1, 2] and {v for _, v in first.values()} == {2}
+    assert run(base) == first and sharding.versions(spark, folder) == known
+    grown = run([*base, *((5000 + i, "y" * 3000, "s") for i in range(12))])
+    assert sharding.versions(spark, folder) == [1, 2, 3] and {v for _, v in grown.values()} == {3}
+    moved = sum(first[i][0] != grown[i][0] for i in first)
+    assert 0 < moved < 0.35 * len(first)
+    maps = {v: {r.vslot: r.shard for r in sharding.load_map(spark, folder, v).collect()} for v in (1, 2, 3)}
+    assert all(len(m) == 256 for m in maps.values()) and maps[1] == {i: i % 6 for i in range(256)}
+    assert {i: maps[2][s.vslot] for i, s in ((r.doc_id, r) for r in sharding.sized(make(spark, base), 256).collect())} == {i: s for i, (s, _) in first.items()}
+    fewer = run(base, 5)
+    assert {s for s, _ in fewer.values()} == set(range(5)) and sharding.versions(spark, folder)[-1] == 4
+    with pytest.raises(ValueError):
+        sharding.store_map(sharding.load_map(spark, folder), folder, 2)
+
+
 def test_rebalancing_moves_little(spark):
     loads = spark.createDataFrame([(i, 100 + (900 if i == 3 else 0)) for i in range(64)], "vslot int, slot_bytes long")
     first = sharding.first_map(spark, 4, 64)
@@ -355,6 +400,19 @@ def test_mix_follows_its_target_weight(spark):
     assert t > 1_300
 
 
+def test_large_tables_take_larger_blocks(spark, monkeypatch):
+    """The plan on the driver keeps its bound; weights hold to within one of the larger blocks."""
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", mixing.MAX_SOURCES + 40)
+    df = make(spark, [(i, f"text {i}", "ab"[i % 5 == 0]) for i in range(4000)])
+    rows = sorted((r.position, r.source, r.target_weight, r.phase, r.block) for r in mixing.mix(df, {"a": 1.0, "b": 1.0}).collect())
+    assert [r[0] for r in rows] == list(range(4000)) and max(r[4] for r in rows) < 40
+    seen = Counter()
+    for position, source, weight, phase, _ in rows:
+        seen[source] += 1
+        if phase == 0:
+            assert abs(seen[source] - weight * (position + 1)) < 2 * 100
+
+
 def test_mix_places_every_row(odd, odd_rows, empty):
     rows = mixing.mix(odd, block=4, quanta=64).collect()
     assert sorted(r.position for r in rows) == list(range(len(odd_rows)))
@@ -432,6 +490,34 @@ def test_exact_complements_come_first():
     assert packing.plan({}) == []
 
 
+@pytest.mark.parametrize("seed", [3, 4, 5])
+def test_the_index_finds_the_largest_complement(seed):
+    """Pair and triple sums against a search through all combinations, while lengths run out."""
+    rng = random.Random(seed)
+    counts = {n: rng.randint(1, 3) for n in rng.sample(range(1, 60), 18)}
+    open_ = packing._Open(counts, 100)
+    while open_.lengths:
+        first = open_.lengths[-1]
+        for gap in range(1, 100):
+            for many, find in ((2, open_.pair), (3, open_.triple)):
+                combos = (c for c in itertools.combinations_with_replacement(open_.lengths[::-1], many) if sum(c) == gap)
+                want = next((first, *c) for c in combos if open_.times((first, *c))) if any(open_.times((first, *c)) for c in itertools.combinations_with_replacement(open_.lengths[::-1], many) if sum(c) == gap) else None
+                assert find(first, gap) == want
+        open_.take((rng.choice(open_.lengths),), 1)
+
+
+def test_other_tokenizers_encode_whole():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    assert packing.remembers_words(packing.default_tokenizer())
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, mine = Tokenizer.from_file(path), packing.encoder(path)
+    assert not packing.remembers_words(path)
+    for t in ("Two  Words\n", "don't", "ÀB c", "a <|endoftext|>"):
+        assert np.frombuffer(mine(t), "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
 def test_pack_matches_the_tokenizer(odd, odd_rows, empty):
     from tokenizers import Tokenizer
 
@@ -496,6 +582,7 @@ def test_remembered_ids_equal_the_tokenizer():
 
 
 def brute_search(rows, queries, k):
+    """Scores in millionths of every document, each term's share rounded."""
     tf = [search.terms(t) for _, t, _ in rows]
     n, size = len(tf), [sum(c.values()) for c in tf]
     mean = sum(size) / n
@@ -504,46 +591,73 @@ def brute_search(rows, queries, k):
     for q, text in queries:
         found = []
         for c, s, (i, *_) in zip(tf, size, rows, strict=True):
-            v = sum(math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * s / mean)) for w in search.terms(text) if w in c)
+            v = sum(round(1e6 * math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * (c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * s / mean)))) for w in search.terms(text) if w in c)
             if v > 0:
-                found.append((-round(v, 9), i is None, i))
-        out[q, zlib.crc32(text.encode())] = [(i, -v) for v, _, i in sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:k]]
+                found.append((-v, i is None, i))
+        out[q, hashlib.md5(text.encode()).hexdigest()] = [(i, -v / 1e6) for v, _, i in sorted(found, key=lambda x: (x[0], x[1], x[2] or 0))[:k]]
     return out
 
 
 def test_search_matches_brute_force(spark, odd, odd_rows, empty, monkeypatch):
     monkeypatch.setattr(search, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(search, "QUERY_TERMS", 40)
     asked = [(i, t) for i, t, _ in odd_rows if i is not None and i % 100 == 0 and t]
     got = defaultdict(list)
     for r in search.top_k(odd, search.every_hundredth(odd)).orderBy("rank").collect():
-        got[r.query_id, r.query_crc32].append((r.doc_id, r.score))
-    want = brute_search(odd_rows, asked, 10)
-    assert set(got) == set(want)
-    for q, rows in want.items():
-        assert [i for i, _ in got[q]] == [i for i, _ in rows]
-        assert [s for _, s in got[q]] == pytest.approx([s for _, s in rows], abs=1e-6)
+        got[r.query_id, r.query_md5].append((r.doc_id, r.score))
+    assert got == {q: rows for q, rows in brute_search(odd_rows, asked, 10).items() if rows}
     assert search.top_k(empty, search.every_hundredth(empty)).count() == 0
 
 
+def test_equal_texts_tie_by_id_across_shards(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_BYTES", 2_000)
+    rng = random.Random(12)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=rng.randint(5, 60))) for _ in range(40)]
+    rows = [(i, texts[i % 40], "s") for i in range(160)]
+    rng.shuffle(rows)
+    asked = [(i, texts[i % 40]) for i in range(0, 160, 4)]
+    df = make(spark, rows)
+    queries = df.filter("doc_id % 4 = 0").selectExpr("doc_id AS query_id", "text")
+    got = defaultdict(list)
+    for r in search.top_k(df, queries).orderBy("rank").collect():
+        got[r.query_id, r.query_md5].append((r.doc_id, r.score))
+    assert got == brute_search(rows, asked, 10)
+    named = df.selectExpr("concat('d', lpad(doc_id, 3, '0')) AS doc_id", "text")  # ids of any kind that sorts
+    first = search.top_k(named, queries.limit(1), 4).orderBy("rank").collect()
+    assert [r.doc_id for r in first] == [f"d{first[0].query_id % 40 + 40 * j:03}" for j in range(4)]
+
+
+def test_empty_texts_fill_shards_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHARD_ROWS", 50)
+    df = make(spark, [(i, "" if i else "only words", "s") for i in range(400)])
+    assert search.build_index(df).df.count() >= 6
+    assert [(r.doc_id, r.rank) for r in search.top_k(df, search.every_hundredth(df)).collect()] == [(0, 1)]
+
+
 def test_pruning_changes_nothing(monkeypatch):
     rng = np.random.default_rng(2)
     n = 900
     docs = [Counter(rng.zipf(1.3, 60).clip(max=400).tolist()) for _ in range(n)]
     vocab = sorted({w for d in docs for w in d})
-    at = {w: k for k, w in enumerate(vocab)}
     post = defaultdict(list)
     for i, d in enumerate(docs):
         for w, c in d.items():
             post[w].append((i, c))
     row = {
-        "ids": list(range(n)), "terms": np.array(vocab, np.int64).tobytes(), "df": np.array([len(post[w]) for w in vocab], np.int64).tobytes(),
+        "terms": np.array(vocab, np.int64).tobytes(), "df": np.array([len(post[w]) for w in vocab], np.int64).tobytes(),
         "docs": np.array([i for w in vocab for i, _ in post[w]], np.uint32).tobytes(), "tf": np.array([c for w in vocab for _, c in post[w]], np.uint32).tobytes(),
         "lengths": np.array([sum(d.values()) for d in docs], np.uint32).tobytes(),
     }
     shard = search.Shard(row, 60.0)
-    assert len(at) and (shard.row >= 0).any()
+    assert (shard.row >= 0).any()
     for q in range(0, n, 45):
-        terms = np.array(sorted(docs[q], key=lambda w: (len(post[w]), w)), np.int64)
+        terms = np.array(list(docs[q]), np.int64)
         weights = np.array([math.log(1 + n / len(post[w])) for w in terms.tolist()])
-        pruned = shard.search(terms, weights, 10)
-        assert pruned == shard.search(terms, weights, n)[:10]
+        docs_, scores = shard.search(terms, weights, 10)
+        every, all_scores = shard.search(terms, weights, n)
+        order = np.lexsort((every, -all_scores))[:10]
+        mine = np.lexsort((docs_, -scores))
+        assert docs_[mine].tolist() == every[order].tolist() and scores[mine].tolist() == all_scores[order].tolist()
+        floor = int(all_scores[order][4])
+        fewer, their = shard.search(terms, weights, 10, floor)
+        assert sorted(fewer.tolist()) == sorted(every[order][all_scores[order] >= floor].tolist()) and (their >= floor).all()
