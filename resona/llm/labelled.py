@@ -17,7 +17,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
 
     At most about ``most`` rows, taken by a hash of the id, so that a model sees
     a bounded sample whatever the number of labels.  Null labels and
-    contradictory labels of an id are left out; null text counts as empty.
+    contradictory labels of an id are left out; null text counts as empty; of
+    the rows that share an id, one text is taken.
     """
     sure = (
         labels.filter(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).filter(fold("doc_id", folds) != held_out)
@@ -30,4 +31,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     # at most `most` ids: rows of fixed size, so the bound of the sample bounds the broadcast
     ids = sure.select(F.col("doc_id").alias("_id"), "label")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
+    found = texts.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    return found.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.min("label").alias("label")).select("doc_id", "t.text", "label")

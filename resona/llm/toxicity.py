@@ -2,8 +2,9 @@
 
 Each token carries the log-odds of toxic against clean text under informative
 Dirichlet priors.  All maximal scoring segments of a text are found in linear
-time; the significance of the best follows the extreme-value law of segment
-scores, and that standardised score is calibrated to 0..1.
+time.  The extreme-value law of segment scores standardises each, and the law of
+sums of the r best, taken at the r where chance explains them least, joins them
+to one evidence, which is calibrated to 0..1.
 
 A token's evidence is its word or one of the word's leading letter groups,
 whichever stands out most: word families are marked by their stem.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, partitions
 from .labelled import fold, training_rows
 
 FOLDS, HELD_OUT = 3, 1
@@ -40,8 +41,8 @@ EVEN = 0.5
 BY_CHANCE = 0.05
 #: Log-odds (less their error) that a unit shows at least; weaker ones add up to noise in long and repeating texts.
 EVIDENCE = 3.0
-#: Units with evidence that a model keeps at most, strongest first.
-UNITS = 50_000
+#: A passage is significant if chance gives it less often than this in a text.
+CHANCE = 0.01
 REMEMBERED = 400_000
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -126,6 +127,28 @@ def karlin(values: np.ndarray, chances: np.ndarray) -> float:
     return high
 
 
+def joint_evidence(lone: np.ndarray, log_length: float) -> float:
+    """Minus the log of the chance of a text's segments, within +-SATURATED.
+
+    ``lone`` has each segment's standardised score, minus the log of the chance
+    of one as good.  The sum t of the r best is exceeded by chance with about
+    exp(-t) t**(r-1) / (r! (r-1)!); having chosen r costs a factor of two for
+    each segment beyond the first.  Segments below zero add nothing.
+    """
+    if not len(lone):
+        return max(-SATURATED, -log_length)
+    best = float(lone.max())
+    good = np.sort(lone[lone > 0])[::-1]
+    if len(good) > 1:
+        r = np.arange(1, len(good) + 1)
+        t = np.cumsum(good)
+        factorials = np.concatenate([[0.0], np.cumsum(np.log(r))])  # ln r!
+        joint = t - (r - 1) * np.log(t) + factorials[1:] + factorials[:-1] - (r - 1) * math.log(2)
+        joint = joint[t >= r]  # the law of sums holds in its tail
+        best = max(best, float(joint.max(initial=best)))
+    return max(-SATURATED, min(SATURATED, best))
+
+
 @dataclass(frozen=True)
 class Detector:
     """Evidence of units, the drift of a token without any, and the calibration."""
@@ -150,16 +173,15 @@ class Detector:
             out.append(s)
         return np.array(out, dtype=float)
 
-    def standard(self, scores: np.ndarray) -> float:
-        """The best segment's score less what chance gives in a text of this length, within +-SATURATED."""
-        best = max((s for *_, s in segments(scores)), default=0.0)
-        return max(-SATURATED, min(SATURATED, self.root * best - math.log1p(len(scores))))
+    def weigh(self, scores: np.ndarray) -> tuple[float, list[tuple[int, int, float]]]:
+        """The text's evidence, and its significant segments (first word, end word, score)."""
+        found = segments(scores)
+        lone = self.root * np.array([x[2] for x in found]) - math.log1p(len(scores))
+        return joint_evidence(lone, math.log1p(len(scores))), [x for x, e in zip(found, lone.tolist(), strict=True) if e >= -math.log(CHANCE)]
 
-    def passages(self, text: str | None, chance: float = 0.01) -> list[tuple[int, int, float]]:
-        """Segments (first word, end word, score) that chance gives less often than ``chance`` in a text."""
-        scores = self.token_scores(text, {})
-        floor = math.log1p(len(scores)) - math.log(chance)
-        return [x for x in segments(scores) if self.root * x[2] >= floor]
+    def passages(self, text: str | None) -> list[tuple[int, int, float]]:
+        """Segments (first word, end word, score) that chance gives less often than CHANCE in a text."""
+        return self.weigh(self.token_scores(text, {}))[1]
 
     def score(self, standard: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * standard + self.shift, -30, 30)))
@@ -183,7 +205,8 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def train(docs: DataFrame, labels: DataFrame) -> Detector:
     """Fits on at most TRAINING_ROWS labelled rows outside the held-out fold."""
-    sample = Stored(training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, TRAINING_ROWS).select("text", "label"), "toxic-sample")
+    rows = training_rows(docs, labels, "toxic", FOLDS, HELD_OUT, TRAINING_ROWS).select("text", "label")
+    sample = Stored(rows.repartition(partitions(docs.sparkSession)), "toxic-sample")
     counts = sample.df.mapInArrow(_unit_counts, "unit string, label int, n long, d long")
     both = counts.groupBy("unit").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("t"),
@@ -203,7 +226,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Detector:
     # a log-likelihood ratio of documents that chance, over all units tried, hardly reaches
     least = 2 * math.log(max(1, known.count()) / BY_CHANCE)
     found = known.filter(F.col("td") > m * share).withColumn("ratio", ratio).filter(F.col("ratio") >= least)
-    table = found.orderBy(F.desc("ratio"), "unit").limit(UNITS).toArrow()
+    table = found.select("unit", "t", "c").toArrow()  # bounded by the sample, as a unit needs three of its documents
+    table = table.sort_by("unit")
     names = table.column("unit").to_pylist()
     t, c = (table.column(k).to_numpy().astype(float) for k in ("t", "c"))
     odds, error = log_odds(t, c, n_t, n_c)
@@ -241,31 +265,40 @@ def _standards(detector: Detector, key: str):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            x = [detector.standard(detector.token_scores(t, known)) for t in batch.column("text").to_pylist()]
+            x = [detector.weigh(detector.token_scores(t, known))[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(x, pa.float64())], [key, "x"])
 
     return rows
 
 
+_PASSAGES = "array<struct<first: int, end: int, score: double>>"
+
+
 def _scores(detector: Detector):
-    inner = _standards(detector, "doc_id")
+    kind = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in inner(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(detector.score(batch.column(1).to_numpy()))], ["doc_id", "score"])
+        known: dict[str, float] = {}
+        for batch in batches:
+            found = [detector.weigh(detector.token_scores(t, known)) for t in batch.column("text").to_pylist()]
+            passages = [[dict(zip(("first", "end", "score"), p, strict=True)) for p in ps] for _, ps in found]
+            score_ = detector.score(np.array([x for x, _ in found], dtype=float))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score_), pa.array(passages, kind)], ["doc_id", "score", "passages"])
 
     return rows
 
 
 def score(docs: DataFrame, detector: Detector) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row.
+    """doc_id, held_out, score, predicted, n_passages and passages (first word, end word, score) of every row.
 
-    Null text counts as empty; rows keep their count whatever their ids; an
-    empty table gives no rows; lang, source, labels and ids are never looked at.
+    Null text counts as empty; a very long one is scanned in linear time; rows
+    keep their count whatever their ids; an empty table gives no rows; lang,
+    source, labels, ids and other columns, whatever their names, are never looked at.
     """
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    scored = slim.mapInArrow(_scores(detector), f"doc_id {kind}, score double")
+    scored = slim.mapInArrow(_scores(detector), f"doc_id {kind}, score double, passages {_PASSAGES}")
     return scored.select(
-        "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted")
+        "doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"),
+        F.size("passages").alias("n_passages"), "passages",
     )

@@ -1,6 +1,7 @@
 """Operators that look at each document: classifiers, media, licences; and the pipeline."""
 
 import hashlib
+import math
 import random
 import struct
 import textwrap
@@ -33,6 +34,12 @@ def test_training_rows_leave_out_the_held_out_fold(odd, labels):
     assert len(few) < len(rows)
 
 
+def test_repeated_ids_give_one_training_row(spark):
+    docs = make(spark, [(7, f"text {i % 50}", "s") for i in range(400)] + [(8, None, "s")])
+    rows = labelled.training_rows(docs, spark.createDataFrame([(7, 1), (8, 0), (8, 0)], "doc_id long, quality int"), "quality", 5, 9, 100).collect()
+    assert sorted((r.doc_id, r.label) for r in rows) == [(7, 1), (8, 0)] and {r.text for r in rows if r.doc_id == 8} == {""}
+
+
 # --- quality -----------------------------------------------------------------
 
 
@@ -134,6 +141,47 @@ def test_karlin_root():
     assert toxicity.karlin(-np.abs(values), chances) == 1.0
 
 
+def brute_joint(lone, log_length):
+    """The joint evidence written out: for each number of best segments, the chance of their sum."""
+    if not len(lone):
+        return max(-toxicity.SATURATED, -log_length)
+    found = [max(lone)]
+    good = sorted((x for x in lone if x > 0), reverse=True)
+    for r in range(2, len(good) + 1):
+        t = sum(good[:r])
+        if t >= r:
+            chance = math.exp(-t) * t ** (r - 1) / (math.factorial(r) * math.factorial(r - 1)) * 2 ** (r - 1)
+            found.append(-math.log(chance))
+    return min(toxicity.SATURATED, max(found))
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_joint_evidence_matches_its_law(seed):
+    rng = np.random.default_rng(100 + seed)
+    for n in range(12):
+        lone = rng.normal(0.5, 2.0, n)
+        assert toxicity.joint_evidence(lone, 4.0) == pytest.approx(brute_joint(lone.tolist(), 4.0))
+
+
+def test_chance_seldom_reaches_the_joint_evidence():
+    """In random texts, evidence of e or more is about as rare as exp(-e)."""
+    rng = np.random.default_rng(8)
+    values, chances = np.array([2.0, -1.0]), np.array([0.15, 0.85])
+    detector = toxicity.Detector({}, 0.0, toxicity.karlin(values, chances), 1.0, 0.0)
+    found = np.array([detector.weigh(rng.choice(values, 400, p=chances))[0] for _ in range(4000)])
+    for e in (2.0, 3.0, 4.0):
+        assert (found >= e).mean() < 2 * math.exp(-e)
+
+
+def test_several_passages_count_together():
+    detector = toxicity.Detector({"vile": 5.5}, 0.05, 1.0, 1.0, 0.0)
+    far = " ".join(["plain"] * 300)
+    one, two, five = (detector.weigh(detector.token_scores(far.join([" vile vile "] * n) + far * (6 - n), {})) for n in (1, 2, 5))
+    assert one[0] < two[0] < five[0] and not five[1]  # none is significant alone
+    long_ = detector.weigh(detector.token_scores(far + " vile" * 6 + f" {far} {far} {far}" + " vile" * 7 + " " + far, {}))
+    assert [(b - a) for a, b, _ in long_[1]] == [6, 7]
+
+
 def test_toxicity_holds_out(spark):
     from .conftest import words
 
@@ -153,6 +201,7 @@ def test_toxicity_holds_out(spark):
     assert all(r.held_out == (fold(r.doc_id, 3) == 1) and r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in found)
     held = [r for r in found if r.held_out]
     assert sum(r.predicted == int(r.doc_id % 5 == 0) for r in held) > 0.95 * len(held)
+    assert all(r.n_passages == len(r.passages) for r in found) and sum(r.n_passages > 0 for r in found if r.doc_id % 5 == 0) > 60
     spans = detector.passages(rows[0][1])
     assert spans and all(any(w in ("vilest", "rottenword", "rottenthing") for w in rows[0][1].split()[a:b]) for a, b, _ in spans)
 
