@@ -1,12 +1,17 @@
 """License scans by conditional compression.
 
-Lines that speak of licences or copyright are candidates, with the lines around
-them up to the length of the longest template.  Every template is aligned with
-their words; each that keeps enough of its words is a notice, trimmed to the
-aligned words, so wrapped lines, comment marks and several notices side by side
-are seen.  Candidate lines without a notice form blocks that are judged whole.
-A block is compressed alone and with each template as a zstandard raw
-dictionary, for the share saved and the runner-up.
+Lines that speak of licences or copyright are candidates, with the words around
+them as far as a notice may reach.  Templates whose words stand there in their
+order, with few differences, mark candidate blocks.  A block is compressed alone
+and with each template as a zstandard raw dictionary; templates rank by the size
+they save, and the first whose exact wording differences confirm it wins the
+words it covers.  What is left of the block is ranked again, so notices side by
+side are all found, and wrapped lines and comment marks do not matter.  Candidate
+lines without a notice come out with their best-ranked template, unconfirmed.
+
+Wording confirms a template if few of its words are lost, none that tells it from
+another licence's template or names a version, and if the words added neither
+deny it nor are those that another licence's template has more.
 """
 
 from __future__ import annotations
@@ -17,77 +22,82 @@ import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: The usual notices by which a work names its licence.
-TEMPLATES: dict[str, tuple[str, ...]] = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
-        "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, "
-        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
-        "subject to the following conditions:",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
-        "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ),
-    "LGPL-3.0": ("This work is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
-        "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    ),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC0-1.0": ("Licensed under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-}
-#: A line with one of these may belong to a notice.
-TRIGGER = r"(?i)licen[cs]e|copyright|\(c\)|©|permission is hereby|redistribut|public domain|spdx|warrant(y|ies)|creative commons|CC0|CC BY"
-#: Share of a block's words that may differ from the template's at most.
+from .license_texts import TEMPLATES
+
+#: Words of a notice's vicinity: a region has these.
+TRIGGER = r"(?i)licen[cs]e|copyright|\(c\)|©|permission (is|to)|hereby granted|redistribut|public domain|spdx|warrant(y|ies)|creative commons|CC0|CC BY"
+#: Share of a template's words that may be lost at most.
 DIFFERENT = 0.2
-_TRIGGER = re.compile(TRIGGER)
-#: The same where a line break and a comment mark may stand between two words.
-_WRAPPED = re.compile(TRIGGER.replace(" ", r"[\W_]+"))
+#: Templates that each have at least this share of their words in the other are siblings, told apart by the rest.
+SIBLING = 0.5
+#: Words of a template that is one line.
+LINE = 16
+#: Added words, or words just before, that deny a notice.
+DENIALS = frozenset("not never no nor neither without cannot isn't aren't wasn't don't doesn't".split())
+#: Words that are looked at together; longer regions go piece by piece, overlapping by the longest reach.
+PIECE = 2048
+#: Longest block, in characters, whose verdict is remembered, and how many are.
+REMEMBERED = 512
 #: What an aligned word gains over a word in between that is not the template's.
 GAIN = 10
-_WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*", re.U)
+#: Where a line break and a comment mark may stand between two words.
+_WRAPPED = re.compile(TRIGGER.replace(" ", r"[\W_]+"))
+_WORD = re.compile(r"[^\W_]+(?:[.'][^\W_]+)*", re.U)
+
+
+class Template(NamedTuple):
+    name: str
+    number: int  # among the licence's templates
+    words: tuple[str, ...]
+    bag: Counter
+    need: int  # words of it that a notice keeps at least
+    telling: Counter  # words that tell it from its siblings
+    others: tuple[frozenset[str], ...]  # what each sibling has more
+    with_dictionary: zstandard.ZstdCompressor
+
+
+class Verdict(NamedTuple):
+    license: str
+    saving: float
+    runner_up: str
+    words_lost: int
+    words_added: int
+    changes: str
+    confirmed: bool
 
 
 def _plain(text: str) -> str:
     return " ".join(text.lower().split())
 
 
+def _words(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
+
+
 @lru_cache(1)
-def _dictionaries() -> list[tuple[str, int, str, zstandard.ZstdCompressor]]:
+def templates() -> tuple[Template, ...]:
+    texts = [(name, i, text, _words(text)) for name, found in TEMPLATES.items() for i, text in enumerate(found)]
     out = []
-    for name, texts in TEMPLATES.items():
-        for i, text in enumerate(texts):
-            raw = zstandard.ZstdCompressionDict(_plain(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            out.append((name, i, text, zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False)))
-    return out
+    for name, i, text, words in texts:
+        bag = Counter(words)
+        telling = Counter({w: n for w, n in bag.items() if any(map(str.isdigit, w))})
+        others = []
+        for sibling, _, _, theirs in texts:
+            lost, more = bag - Counter(theirs), Counter(theirs) - bag
+            if sibling != name and sum(lost.values()) <= SIBLING * len(words) and sum(more.values()) <= SIBLING * len(theirs):
+                telling |= lost
+                others.append(frozenset(theirs) - frozenset(words))
+        raw = zstandard.ZstdCompressionDict(_plain(text).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        compressor = zstandard.ZstdCompressor(level=19, dict_data=raw, write_content_size=False)
+        out.append(Template(name, i, tuple(words), bag, len(words) - int(DIFFERENT * len(words)), telling, tuple(o for o in others if o), compressor))
+    return tuple(out)
 
 
 @lru_cache(1)
@@ -95,100 +105,74 @@ def _alone() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=19, write_content_size=False)
 
 
-def blocks(text: str) -> Iterator[tuple[int, int, str]]:
-    """(first character, end, block) of each run of lines with a trigger."""
-    if not _TRIGGER.search(text):
-        return
-    at, start, end = 0, None, 0
-    for line in text.split("\n"):
-        if _TRIGGER.search(line):
-            start = at if start is None else start
-            end = at + len(line)
-        elif start is not None:
-            yield start, end, text[start:end]
-            start = None
-        at += len(line) + 1
-    if start is not None:
-        yield start, end, text[start:end]
-
-
-def rank(block: str) -> list[tuple[float, str, int]]:
-    """(share of the compressed size saved, licence, template) of each template, best first."""
+def rank(block: str) -> list[tuple[float, Template]]:
+    """(share of the compressed size saved, template) of each template, best first."""
     raw = _plain(block).encode()
     alone = len(_alone().compress(raw))
-    found = [((alone - len(c.compress(raw))) / alone, name, i) for name, i, _, c in _dictionaries()]
-    return sorted(found, key=lambda x: (-x[0], x[1], x[2]))
+    return sorted((((alone - len(t.with_dictionary.compress(raw))) / alone, t) for t in templates()), key=lambda x: (-x[0], x[1].name, x[1].number))
 
 
-def differences(block: str, template: str) -> tuple[int, int, str]:
-    """(words deleted or replaced of the template, words added, the changes spelled out)."""
-    a, b = _WORD.findall(template.lower()), _WORD.findall(block.lower())
-    lost = added = 0
-    said = []
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+def differences(block: Sequence[str], template: Template) -> tuple[Counter, Counter, str]:
+    """The template's words that the block lacks, the words it has more, and the changes spelled out in order."""
+    lost, added, said = [], [], []
+    for kind, i, j, k, m in difflib.SequenceMatcher(None, template.words, block, autojunk=False).get_opcodes():
         if kind != "equal":
-            lost += j - i
-            added += m - k
-            said.append(f"-{' '.join(a[i:j])}" * (j > i) + f"+{' '.join(b[k:m])}" * (m > k))
-    return lost, added, "; ".join(said)
+            lost += template.words[i:j]
+            added += block[k:m]
+            said.append(f"-{' '.join(template.words[i:j])}" * (j > i) + f"+{' '.join(block[k:m])}" * (m > k))
+    return Counter(lost), Counter(added), "; ".join(said)
 
 
-@lru_cache(65536)
-def _judge(block: str) -> tuple[str, float, str, int, int, str, bool]:
-    """Best licence, its saving, the runner-up, word differences, confirmation.
+def confirms(template: Template, lost: Counter, added: Counter, before: Sequence[str] = ()) -> bool:
+    """Whether the exact differences, and the words just before, leave no doubt that the template is meant."""
+    if sum(lost.values()) > DIFFERENT * len(template.words) or DENIALS & (set(added) | set(before)):
+        return False
+    told = template.telling & lost
+    if sum(told.values()) > DIFFERENT * sum(template.telling.values()) or any(any(map(str.isdigit, w)) for w in told):
+        return False
+    # a word of a sibling settles a line; longer texts share words by chance
+    return not any(len(more & set(added)) > (len(more) // 2 if len(template.words) > LINE else 0) for more in template.others)
 
-    Wording decides among all templates, those the block can mean first; longer
-    blocks that hold a template whole are confirmed by the words they share.
-    """
-    ranked = rank(block)
-    best = None
-    for saved, name, i in ranked:
-        text = TEMPLATES[name][i]
-        lost, added, said = differences(block, text)
-        words = len(_WORD.findall(text.lower()))
-        key = (not (lost <= DIFFERENT * words and _names(name, block)), lost / words, added, -saved, name, i)
-        if best is None or key < best[0]:
-            best = (key, name, saved, lost, added, said, words)
-    _, name, saved, lost, added, said, words = best
-    other = next((n for _, n, _ in ranked if n != name), "")
-    return name, saved, other, lost, added, said, lost <= DIFFERENT * words and _names(name, block)
-
-
-#: What a notice must name to mean this licence and no sibling.
-_MARKS: dict[str, str] = {
-    "MIT": r"mit|permission is hereby granted",
-    "Apache-2.0": r"apache.*2\.0",
-    "GPL-3.0": r"gnu general public.*version 3",
-    "GPL-2.0": r"gnu general public.*version 2",
-    "LGPL-3.0": r"lesser general public.*version 3",
-    "AGPL-3.0": r"affero general public.*version 3",
-    "MPL-2.0": r"mozilla public.*2\.0",
-    "BSD-3-Clause": r"bsd 3|redistribution and use",
-    "CC-BY-4.0": r"(cc by|commons attribution) 4\.0",
-    "CC-BY-SA-4.0": r"(by-sa|sharealike) 4\.0",
-    "CC-BY-NC-4.0": r"(by-nc|noncommercial) 4\.0",
-    "CC0-1.0": r"cc0|waived all copyright",
-    "Unlicense": r"unencumbered software",
-}
-
-
-def _names(name: str, block: str) -> bool:
-    return re.search(_MARKS[name], _plain(block)) is not None
+
+def _reach(n: int) -> int:
+    """Most words between the first and the last of a notice after a template of n words."""
+    return 2 * n + 8 if n < 64 else n + n // 2 + 40
 
 
 @lru_cache(1)
-def _wordings() -> list[tuple[str, int, list[str]]]:
-    return [(name, i, _WORD.findall(text.lower())) for name, texts in TEMPLATES.items() for i, text in enumerate(texts)]
+def vicinity() -> int:
+    """Words around a trigger that a notice may take: the most from any template's word to a trigger, and as many again."""
+    far = 0
+    for found in TEMPLATES.values():
+        for text in found:
+            spots = [m.start() for m in _WORD.finditer(text)]
+            hits = [bisect.bisect_right(spots, m.start()) - 1 for m in _WRAPPED.finditer(text)]
+            far = max(far, max(min(abs(i - h) for h in hits) for i in range(len(spots))))
+    return 2 * far + 8
 
 
-def _reach(n: int) -> int:
-    """Most words between the first and the last of a notice after a template of n words."""
-    return 2 * n + 8
+def regions(text: str) -> list[tuple[int, int]]:
+    """(first character, end) of the triggers with the words around them; those that meet are one."""
+    hits = [m.span() for m in _WRAPPED.finditer(text)]
+    if not hits:
+        return []
+    spans = [m.span() for m in _WORD.finditer(text)]
+    starts = [a for a, _ in spans]
+    out: list[tuple[int, int]] = []
+    for a, b in hits:
+        if spans:
+            i, j = max(0, bisect.bisect_right(starts, a) - 1 - vicinity()), min(len(spans) - 1, bisect.bisect_left(starts, b) + vicinity())
+            a, b = min(a, starts[i]), max(b, spans[j][1])
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
-def _dense(words: Sequence[str], template: Sequence[str], need: int) -> Iterator[int]:
-    """Where a window of the template's reach begins that holds ``need`` of its words."""
-    wants, size = Counter(template), _reach(len(template))
+def _dense(words: Sequence[str], template: Template) -> Iterator[int]:
+    """Where a window of the template's reach begins that holds as many of its words as a notice needs."""
+    wants, size = template.bag, _reach(len(template.words))
     held: Counter[str] = Counter()
     n = 0
     for end in range(len(words) + size - 1):
@@ -198,19 +182,19 @@ def _dense(words: Sequence[str], template: Sequence[str], need: int) -> Iterator
         if end >= size and (w := words[end - size]) in wants:
             held[w] -= 1
             n -= held[w] < wants[w]
-        if n >= need:
+        if n >= template.need:
             yield max(0, end - size + 1)
 
 
-def _align(words: Sequence[str], template: Sequence[str], need: int) -> tuple[int, int, int] | None:
-    """(first word, end, words kept) of the first alignment that keeps ``need`` words, at its best end."""
-    n = len(template)
+def _align(words: Sequence[str], template: Template) -> tuple[int, int] | None:
+    """(first word, end) of the first alignment that keeps enough words, at its best end."""
+    n = len(template.words)
     none = (0, 0, 0)  # gain, first word, words kept
     before = [none] * (n + 1)
     best = first = None
     for j, w in enumerate(words):
         now = [none]
-        for i, t in enumerate(template):
+        for i, t in enumerate(template.words):
             gain, at, kept = before[i + 1]
             top = max(now[i], (gain - 1, at, kept) if gain > 1 else none)
             if t == w:
@@ -219,82 +203,116 @@ def _align(words: Sequence[str], template: Sequence[str], need: int) -> tuple[in
             now.append(top)
         before = now
         gain, at, kept = now[n]
-        if kept >= need and (first is None or at <= first) and (best is None or gain > best[0]):
+        if kept >= template.need and (first is None or at <= first) and (best is None or gain > best[0]):
             first = j if first is None else first
-            best = (gain, at, j + 1, kept)
+            best = (gain, at, j + 1)
         if first is not None and j > first + n:
             break
     return best and best[1:]
 
 
-def _aligned(words: Sequence[str]) -> list[tuple[int, int, str, int]]:
-    """(first word, end, licence, template) of the notices among the words; of those that overlap, the one that keeps most."""
+def aligned(words: Sequence[str]) -> list[tuple[int, int, Template]]:
+    """(first word, end, template) wherever a template's words stand in their order."""
+    bag = Counter(words)
     found = []
-    for name, i, template in _wordings():
-        n = len(template)
-        need = n - int(DIFFERENT * n)
-        done = 0
-        for at in _dense(words, template, need):
+    for template in templates():
+        if sum(min(n, bag[w]) for w, n in template.bag.items()) < template.need:
+            continue
+        reach, done = _reach(len(template.words)), 0
+        for at in _dense(words, template):
             at = max(at, done)
-            while hit := _align(words[at : at + 2 * _reach(n)], template, need):
-                a, b, kept = at + hit[0], at + hit[1], hit[2]
-                if re.search(rf"\b(?:{_MARKS[name]})\b", " ".join(words[a:b])):
-                    found.append((-kept, n - kept, b - a - kept, name, i, a, b))
-                at = done = b
-            done = max(done, at + _reach(n))
-    taken: list[tuple[int, int, str, int]] = []
-    for *_, name, i, a, b in sorted(found):
-        if all(b <= x or a >= y for x, y, *_ in taken):
-            taken.append((a, b, name, i))
-    return sorted(taken)
-
-
-def regions(text: str) -> list[tuple[int, int]]:
-    """(first character, end) of candidate lines with their neighbours, as far as a template may reach."""
-    hits = [m.span() for m in _WRAPPED.finditer(text)]
-    far = max(_reach(len(t)) for *_, t in _wordings())
-    out: list[tuple[int, int]] = []
-    ends = [m.span() for m in _WORD.finditer(text)] if hits else []
-    starts = [a for a, _ in ends]
-    for a, b in hits:
-        i, j = max(0, bisect.bisect_right(starts, a) - 1 - far), min(len(ends) - 1, bisect.bisect_left(starts, b) + far)
-        a, b = min(a, ends[i][0]) if ends else a, max(b, ends[j][1]) if ends else b
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
+            while hit := _align(words[at : at + 2 * reach], template):
+                found.append((at + hit[0], at + hit[1], template))
+                at = done = at + hit[1]
+            done = max(done, at + reach)
+    return sorted(found, key=lambda x: x[:2])
+
+
+def _verdict(ranked: list[tuple[float, Template]], template: Template, lost: Counter, added: Counter, said: str, sure: bool) -> Verdict:
+    saved = next(s for s, t in ranked if t is template)
+    other = next((t.name for _, t in ranked if t.name != template.name), "")
+    return Verdict(template.name, saved, other, sum(lost.values()), sum(added.values()), said, sure)
+
+
+def _before(text: str, at: int) -> list[str]:
+    """The last words before a place, in the same sentence."""
+    return _words(re.split(r"[.;:!?]\s|\n\s*\n", text[max(0, at - 60) : at])[-1])[-3:]
+
+
+def _winners(text: str, spans: list[tuple[int, int]], found: list[tuple[int, int, Template]]) -> Iterator[tuple[int, int, Verdict]]:
+    """The notices of one candidate block: overlapping alignments, judged in the order of their saving."""
+    while found:
+        a, b = min(x for x, _, _ in found), max(y for _, y, _ in found)
+        block = text[spans[a][0] : spans[b - 1][1]]
+        ranked = rank(block)
+        place = {id(t): i for i, (_, t) in enumerate(ranked)}
+        for x, y, template in sorted(found, key=lambda f: (place[id(f[2])], f[0])):
+            lost, added, said = differences([text[p:q].lower() for p, q in spans[x:y]], template)
+            if confirms(template, lost, added, _before(text, spans[x][0])):
+                yield spans[x][0], spans[y - 1][1], _verdict(ranked, template, lost, added, said, True)
+                found = [f for f in found if f[1] <= x or f[0] >= y]
+                break
         else:
-            out.append((a, b))
-    return out
+            return
 
 
-@lru_cache(65536)
-def _notice(block: str, name: str, i: int) -> tuple[str, float, str, int, int, str, bool]:
-    """What ``_judge`` gives, for a notice whose words are aligned with a template."""
-    ranked = rank(block)
-    saved = next(x for x, n, k in ranked if (n, k) == (name, i))
-    return name, saved, next((n for _, n, _ in ranked if n != name), ""), *differences(block, TEMPLATES[name][i]), True
+def _judge(block: str) -> Verdict:
+    """A block without a notice: its best-ranked template, unconfirmed."""
+    return _judged(block) if len(block) <= REMEMBERED else _judged.__wrapped__(block)
 
 
-def notices(text: str) -> list[tuple]:
-    """(first character, end, what ``_judge`` gives) of each notice and of each block of candidate lines without one."""
-    out = []
-    for a, b in regions(text):
-        found = list(_WORD.finditer(text, a, b))
-        for first, end, name, i in _aligned([m.group().lower() for m in found]):
-            x, y = found[first].start(), found[end - 1].end()
-            out.append((x, y, *_notice(text[x:y], name, i)))
-    spans = [x[:2] for x in out]
-    for start, end, block in blocks(text):
-        at, rest = start, []  # runs of the block's lines that no notice touches
-        for line in block.split("\n"):
-            if any(x < at + len(line) and at < y for x, y in spans):
-                rest.append(None)
-            elif rest and rest[-1]:
-                rest[-1] = (rest[-1][0], at + len(line))
-            else:
-                rest.append((at, at + len(line)))
-            at += len(line) + 1
-        out += [(x, y, *_judge(text[x:y])) for x, y in filter(None, rest)]
-    return sorted(out)
+@lru_cache(1 << 14)
+def _judged(block: str) -> Verdict:
+    ranked = rank(block)
+    template = ranked[0][1]
+    return _verdict(ranked, template, *differences(_words(block), template), False)
+
+
+def notices(text: str) -> list[tuple[int, int, Verdict]]:
+    """(first character, end, verdict) of each notice, and of each piece of a candidate line without one."""
+    found: list[tuple[int, int, Verdict]] = []
+    near = regions(text)
+    overlap = max(_reach(len(t.words)) for t in templates())
+    for a, b in near:
+        every = [m.span() for m in _WORD.finditer(text, a, b)]
+        for at in range(0, len(every), PIECE):
+            # a notice belongs to the piece that it begins in, unless one of the piece before covers it
+            edge = max((n[1] for n in found[-1:]), default=0)
+            stop = every[at + PIECE][0] if at + PIECE < len(every) else b
+            spans = every[at : at + PIECE + overlap]
+            left = aligned([text[x:y].lower() for x, y in spans])
+            mine = []
+            while left:  # alignments that meet are one block
+                block, end = [left[0]], left[0][1]
+                while len(block) < len(left) and left[len(block)][0] < end:
+                    block.append(left[len(block)])
+                    end = max(end, block[-1][1])
+                left = left[len(block) :]
+                mine += [n for n in _winners(text, spans, block) if edge <= n[0] < stop]
+            found += sorted(mine, key=lambda n: n[:2])
+    return sorted([*found, *_without(text, near, [n[:2] for n in found])], key=lambda n: n[:2])
+
+
+def _without(text: str, near: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, Verdict]]:
+    """Lines with a trigger that no notice touches, neighbours together, as far as the words around their triggers go."""
+    ends = [y for _, y in taken]
+    parts: list[tuple[int, int]] = []
+    for at, b in near:
+        while at < b:
+            stop = text.find("\n", at, b)
+            stop = b if stop < 0 else stop
+            k = bisect.bisect_right(ends, at)
+            if (k == len(taken) or taken[k][0] >= stop) and _WRAPPED.search(text, at, stop):
+                if parts and parts[-1][1] + 1 >= at:
+                    parts[-1] = (parts[-1][0], stop)
+                else:
+                    parts.append((at, stop))
+            at = stop + 1
+    for start, end in parts:
+        spans = [m.span() for m in _WORD.finditer(text, start, end)]
+        for i in range(0, max(1, len(spans)), PIECE):
+            x, y = spans[i][0] if i else start, spans[i + PIECE - 1][1] if i + PIECE < len(spans) else end
+            yield x, y, _judge(text[x:y])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -302,14 +320,14 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row: list[int] = []
         out: list[list] = [[] for _ in range(10)]
         for i, text in enumerate(batch.column("text").to_pylist()):
-            for n, found in enumerate(notices(text or "")):
+            for n, (start, end, verdict) in enumerate(notices(text or "")):
                 row.append(i)
-                for into, v in zip(out, (n, *found), strict=True):
+                for into, v in zip(out, (n, start, end, *verdict), strict=True):
                     into.append(v)
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.bool_()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").take(pa.array(row, pa.int64())), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]],
-            ["doc_id", "block", "start", "end", "license", "saving", "runner_up", "words_lost", "words_added", "changes", "confirmed"],
+            ["doc_id", "block", "start", "end", *Verdict._fields],
         )
 
 
@@ -318,9 +336,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
     doc_id, block (from 0), start and end (characters), license, saving (share
     of the compressed size), runner_up, words_lost, words_added, changes,
-    confirmed.  Texts without candidates, empty and null ones give no rows; rows
-    that repeat give theirs each; ties go to the template first by name; other
-    columns are ignored.
+    confirmed.  Texts without candidates, empty and null ones give no rows; very
+    long ones go piece by piece; rows that repeat give theirs each; ties in saving
+    go to the template first by name; an empty table gives no rows; other columns
+    are ignored, whatever their names.
     """
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
