@@ -34,7 +34,7 @@ from .common import Stored, partitions, piece_count, release, spread_rank, text_
 CAPACITY = 2048
 END_ID = 0
 #: Entries of either generation of a worker's memory of chunks and words; what is forgotten is encoded again.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 #: Copies of a layout that travel in one row.
 COPIES = 4096
 #: Multiples of it, modulo 1, are spread evenly.
@@ -151,11 +151,10 @@ def encoder(path: str) -> Callable[[str], bytes]:
         if unusual.search(text) or not unicodedata.is_normalized("NFC", text):
             return encode(text)
         pieces = text.lower().split()
-        try:
-            young = chunks.young
-            return b"".join([young[c] for c in pieces])
-        except KeyError:
-            return b"".join([chunk(c) for c in pieces])
+        found = list(map(chunks.young.get, pieces))
+        if None in found:
+            found = [chunk(c) if ids is None else ids for c, ids in zip(pieces, found, strict=True)]
+        return b"".join(found)
 
     _ENCODERS[path] = whole
     return whole
