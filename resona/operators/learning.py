@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..errors import FusionModelError
 from .metrics import evaluate_min_dcf
-from .validate import check_cv_table
+from .validate import check_cv_table, not_finite
 
 #: The logistic baseline and the boosted baselines.
 LOGISTIC = {"C": 1.0, "max_iter": 2000, "seed": 42}
@@ -168,6 +168,9 @@ def cross_validate(table: DataFrame, model: str = "logistic", features: Sequence
         parts = scored if parts is None else parts.unionByName(scored)
         if fitted.importance() is not None:
             gains.append(fitted.importance())
+    counted = parts.agg(F.count(F.lit(1)).alias("n"), F.count_if(~not_finite("score")).alias("finite"), F.count_distinct("file_id").alias("ids")).first()
+    if not counted["n"] == counted["finite"] == counted["ids"] == rows.count():
+        raise FusionModelError("a row has no finite out-of-fold score, or more than one")
     found = evaluate_min_dcf(parts, "score", "label").first().asDict()
     ranked = None
     if gains:

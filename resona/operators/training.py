@@ -64,15 +64,19 @@ def waveforms(spark: SparkSession, rows: DataFrame, root: str, max_seconds: floa
     return files.decode(kept, normalise=False, permissive=True, most_seconds=max_seconds).withColumn("file_id", basename("file_id"))
 
 
-def clip_embeddings(audio: DataFrame, embed: str) -> DataFrame:
-    """Mean and deviation over frames of each clip's embeddings."""
-    frames = detectors.frame_embeddings(audio.filter("samples IS NOT NULL AND size(samples) > 0"), embed)
+def pooled(frames: DataFrame) -> DataFrame:
+    """Mean and deviation over the frames (file_id, embedding) of each clip, side by side."""
     long = frames.select("file_id", F.posexplode("embedding").alias("dim", "x"))
     per = long.groupBy("file_id", "dim").agg(F.avg("x").alias("m"), F.sqrt(F.var_pop("x") + F.lit(1e-8)).alias("s"))
     both = per.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("dim", "m", "s"))).alias("v"))
     return both.select("file_id", F.concat(F.transform("v", lambda r: r["m"]), F.transform("v", lambda r: r["s"])).alias("embedding"))
 
 
+def clip_embeddings(audio: DataFrame, embed: str) -> DataFrame:
+    """Pooled embeddings of each clip's frames."""
+    return pooled(detectors.frame_embeddings(audio.filter("samples IS NOT NULL AND size(samples) > 0"), embed))
+
+
 def features(spark: SparkSession, rows: DataFrame, config: TrainingConfig, name: str) -> DataFrame:
     """file_id, label, embedding, lfcc; zeros stand in for files that cannot be analysed."""
 
