@@ -117,7 +117,7 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
         model = training.train(training.features(spark, rows, config, "train"), config)
         if args.test_dir:
             held = test_files(spark, args.test_dir)
-        scores = model.score(training.features(spark, held, config, "test")).cache()
+        scores = model.score(training.features(spark, held, config, "test", args.test_dir)).cache()
         if not args.test_dir and not args.no_val:
             print(", ".join(f"{k}: {v}" for k, v in training.evaluate(scores).items()))
         training.write_scores(scores, args.output_prefix)

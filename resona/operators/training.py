@@ -77,11 +77,11 @@ def clip_embeddings(audio: DataFrame, embed: str) -> DataFrame:
     return pooled(detectors.frame_embeddings(audio.filter("samples IS NOT NULL AND size(samples) > 0"), embed))
 
 
-def features(spark: SparkSession, rows: DataFrame, config: TrainingConfig, name: str) -> DataFrame:
-    """file_id, label, embedding, lfcc; zeros stand in for files that cannot be analysed."""
+def features(spark: SparkSession, rows: DataFrame, config: TrainingConfig, name: str, root: str | None = None) -> DataFrame:
+    """file_id, label, embedding, lfcc of the files below ``root`` (the data root); zeros stand in for files that cannot be analysed."""
 
     def make(inputs: DataFrame) -> DataFrame:
-        audio = waveforms(spark, inputs, config.data_root, config.max_seconds).cache()
+        audio = waveforms(spark, inputs, root or config.data_root, config.max_seconds).cache()
         embedded = clip_embeddings(audio.drop("error"), config.embed)
         width = embedded.agg(F.max(F.size("embedding"))).first()[0] or 1
         out = detectors.lfcc(audio.drop("error"), permissive=True).join(embedded, "file_id", "left")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import wave
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from ..errors import RunnerError
 from ..functions import dsp
 from ..schema import ANALYSIS_SUFFIXES, RUNNER_SUFFIXES, SAMPLE_RATE, WAVEFORM
 from . import paths
+from .flac import decode_flac
 
 
 def _listing(spark: SparkSession, directory: str, recursive: bool, pattern: str | None = None) -> DataFrame:
@@ -93,9 +95,26 @@ def encode_wav(samples: np.ndarray, rate: int = SAMPLE_RATE, width: int = 2) ->
     return out.getvalue()
 
 
-def load_audio(content: bytes, rate: int = SAMPLE_RATE, normalise: bool = True) -> np.ndarray:
+def decoder_of(content: bytes, name: str, decoders: Mapping[str, str] | None = None) -> Callable[[bytes], tuple[np.ndarray, int]]:
+    """What turns the content into mono samples and their rate: WAV and FLAC by their first bytes, others by suffix.
+
+    ``decoders`` names further ones 'module:function' by suffix; a worker imports them when it first meets the suffix.
+    """
+    if content[:4] == b"fLaC":
+        return decode_flac
+    suffix = ("." + name.lower().rpartition(".")[2]) if "." in name else ""
+    where = (decoders or {}).get(suffix)
+    if where:
+        module, _, function = where.partition(":")
+        return getattr(importlib.import_module(module), function)
+    if suffix in RUNNER_SUFFIXES and suffix not in (".wav", ".flac") and content[:4] not in (b"RIFF", b"RIFX"):
+        raise ValueError(f"no decoder for {suffix} files")
+    return decode_wav
+
+
+def load_audio(content: bytes, rate: int = SAMPLE_RATE, normalise: bool = True, name: str = "", decoders: Mapping[str, str] | None = None) -> np.ndarray:
     """Mono samples at ``rate``, finite, and with ``normalise`` brought to a peak of one."""
-    x, have = decode_wav(content)
+    x, have = decoder_of(content, name, decoders)(content)
     x = dsp.resample(x, have, rate)
     if not len(x):
         raise ValueError("no samples")
@@ -104,20 +123,25 @@ def load_audio(content: bytes, rate: int = SAMPLE_RATE, normalise: bool = True)
     return dsp.peak_normalised(x) if normalise else x
 
 
-def decode(files: DataFrame, rate: int = SAMPLE_RATE, normalise: bool = True, permissive: bool = False, key: str = "path", length: int | None = None, most_seconds: float | None = None) -> DataFrame:
+def decode(
+    files: DataFrame, rate: int = SAMPLE_RATE, normalise: bool = True, permissive: bool = False, key: str = "path", length: int | None = None, most_seconds: float | None = None,
+    decoders: Mapping[str, str] | None = None,
+) -> DataFrame:
     """Waveforms (file_id, sample_rate, samples) of the files' content, one task per batch of files.
 
     A file that cannot be decoded fails the query; with ``permissive`` it keeps its row,
     null samples and the reason in column ``error``.  ``length`` cuts or fills
-    with zeros; ``most_seconds`` cuts.
+    with zeros; ``most_seconds`` cuts.  WAV and FLAC are decoded here, other
+    formats by ``decoders`` ('module:function' by suffix).
     """
+    others = dict(decoders or {})
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             samples, errors = [], []
             for name, content in zip(pdf["file_id"], pdf["content"], strict=True):
                 try:
-                    x = load_audio(bytes(content), rate, normalise)
+                    x = load_audio(bytes(content), rate, normalise, name, others)
                     if most_seconds is not None:
                         x = x[: int(most_seconds * rate)]
                     if length is not None:

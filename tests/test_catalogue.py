@@ -9,7 +9,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from resona.plans import catalogue, signals  # noqa: F401
+from resona.plans import catalogue, checked, files, signals  # noqa: F401
 
 ROOT = Path(__file__).resolve().parent.parent
 
@@ -43,7 +43,7 @@ def test_query_equals_its_sql(spark, duck, small, name):
     assert rows_of(df.columns, df.collect()) == rows_of(columns, found.fetchall())
 
 
-@pytest.mark.parametrize("name", ["novelty_peaks", "novelty_per_file", "context_json", "residual_score", "enf_synth", "pca_project"])
+@pytest.mark.parametrize("name", ["splice_candidates_synth", "cpps_synth", "residual_synth", "context_json", "residual_score", "enf_synth", "pca_project"])
 def test_other_queries_run(spark, small, name):
     assert catalogue.QUERIES[name](spark, small).count() > 0
 

@@ -31,8 +31,8 @@ def brute(scores, labels, p_spoof=0.3, c_miss=1.0, c_fa=4.0):
 @pytest.mark.parametrize(
     "scores, labels",
     [
-        ([0.1, 0.2, 0.8, 0.9], [0, 0, 1, 1]), ([0.8, 0.9, 0.1, 0.2], [0, 0, 1, 1]), ([0.1, 0.4, 0.3, 0.8], [0, 0, 1, 1]), ([0.5] * 4, [0, 0, 1, 1]),
-        ([0.62, -1.1, 0.62, 2.4, 0, -0.3, 1.2], [0, 1, 1, 1, 0, 0, 1]), ([-20, -10, 15, 100], [0, 0, 1, 1]),
+        ([0.05, 0.31, 0.77, 0.93, 0.94], [0, 0, 1, 1, 1]), ([7, 5, 2, 1, 1], [0, 0, 1, 1, 1]), ([0.2, 0.6, 0.5, 0.55, 0.9, 0.1], [0, 0, 1, 1, 1, 0]), ([3.5] * 5, [0, 1, 0, 1, 1]),
+        ([1.4, -0.2, 0.9, 0.9, 3.1, -2.0, 0.9, 0.1], [0, 1, 1, 0, 1, 0, 1, 0]), ([-300, 4, -7, 1000, 3], [0, 1, 0, 1, 0]),
     ],
 )
 def test_min_dcf_matches_a_loop(spark, scores, labels):
@@ -41,26 +41,24 @@ def test_min_dcf_matches_a_loop(spark, scores, labels):
 
 
 def test_min_dcf_known_values(spark):
+    """A published value."""
     got = metrics.evaluate_min_dcf(table(spark, [0.1, 0.4, 0.3, 0.8], [0, 0, 1, 1]), "score", "is_spoof").first()
     assert (got.min_dcf, got.threshold, got.p_miss, got.p_fa, got.n_bonafide, got.n_spoof) == (0.5, 0.3, 0.5, 0.0, 2, 2)
 
 
 def test_det_curve(spark):
-    rows = metrics.det_curve(table(spark, [0.1, 0.4, 0.3, 0.8], [0, 0, 1, 1]), "score", "is_spoof").orderBy("point").collect()
-    assert [r.p_miss for r in rows] == [0, 0, 0.5, 0.5, 1]
-    assert [r.p_fa for r in rows] == [1, 0.5, 0.5, 0, 0]
-    assert [r.threshold for r in rows] == pytest.approx([-0.801, -0.8, -0.4, -0.3, -0.1])
-    ties = metrics.det_curve(table(spark, [0.5] * 4, [0, 0, 1, 1]), "score", "is_spoof").orderBy("point").collect()
-    assert [r.p_miss for r in ties] == [0, 0.5, 1, 1, 1]
-    assert [r.p_fa for r in ties] == [1, 1, 1, 0.5, 0]
+    rows = metrics.det_curve(table(spark, [2, 1, 1, 0.5, 3], [0, 1, 0, 1, 1]), "score", "is_spoof").orderBy("point").collect()
+    assert [r.p_miss for r in rows] == [0, 0, 0.5, 1, 1, 1]
+    assert [r.p_fa for r in rows] == pytest.approx([1, 2 / 3, 2 / 3, 2 / 3, 1 / 3, 0])
+    assert [r.threshold for r in rows] == pytest.approx([-3.001, -3, -2, -1, -1, -0.5])
 
 
 def test_curve_of_one_point(spark):
-    curve = spark.createDataFrame([(0, 0.2, 0.1, 0.4)], "point int, p_miss double, p_fa double, threshold double")
-    got = metrics.min_dcf_of_curve(curve).first()
-    assert got.unnormalized_cost == pytest.approx(0.26) and got.min_dcf == pytest.approx(0.26 / 0.7)
+    kind = "point int, p_miss double, p_fa double, threshold double"
+    got = metrics.min_dcf_of_curve(spark.createDataFrame([(0, 0.3, 0.05, 0.7)], kind)).first()
+    assert got.unnormalized_cost == pytest.approx(0.27) and got.min_dcf == pytest.approx(0.27 / 0.7)
     with pytest.raises(MetricError):
-        metrics.min_dcf_of_curve(spark.createDataFrame([(0, 1.2, 0.1, 0.4)], "point int, p_miss double, p_fa double, threshold double"))
+        metrics.min_dcf_of_curve(spark.createDataFrame([(0, 0.3, -0.1, 0.7)], kind))
 
 
 @pytest.mark.parametrize("scores, labels", [([], []), ([0.1, 0.2], [0, 0]), ([float("nan"), 0.1], [0, 1]), ([float("inf"), 0.1], [0, 1]), ([0.1, 0.2], [0, 2])])
