@@ -160,8 +160,9 @@ def _scores(ranker: Ranker):
 def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
     """doc_id, held_out, score, predicted of every row.
 
-    Null text counts as empty; rows keep their count whatever their ids; an
-    empty table gives no rows; lang, source, labels and ids are never looked at.
+    Null text counts as empty; very long texts are read whole; rows keep their
+    count whatever their ids; an empty table gives no rows; lang, source, labels,
+    ids and other columns, whatever their names, are never looked at.
     """
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -172,8 +173,15 @@ def score(docs: DataFrame, ranker: Ranker) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, that score at least CUT."""
+    """The documents, all columns, that score at least CUT.
+
+    Null text scores as empty and stays null; very long texts are scored whole;
+    repeated rows and ids stay or go each by its text; an empty table gives no
+    rows; other columns stay as they are, whatever their names.  Without labels
+    of both classes nothing is rejected.
+    """
     ranker = train(docs, labels)
+
     @pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         f = np.array([features(t) for t in texts], dtype=float).reshape(-1, len(NAMES))

@@ -213,7 +213,9 @@ def one_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     Classes are ``found``, those of ``copies``, or else op3's.
 
     Of a class without any doc_id, and of rows that share the smallest, the one
-    with the smallest text key stays; of rows that repeat it whole, one.
+    with the smallest text key stays; of rows that repeat it whole, one.  Null and
+    empty texts are a class like any other; an empty table gives no rows; columns
+    of any name stay as they are.
     """
     first = F.min(F.struct("k1", "k2"))
     keep = (
