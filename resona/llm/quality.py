@@ -1,7 +1,9 @@
 """Document quality by Bradley-Terry pairwise ranking.
 
 Preference pairs (a document of label 1 over one of label 0) give logistic loss
-on differences of features; the fitted weights score single documents.  The cut
+on differences of features; the fitted weights score single documents.  Features
+are shares of a text's words and of its byte trigrams, each hashed to buckets
+whose weights are learnt from the pairs alone, and measures of its form.  The cut
 is a quantile of the training scores, and scores are mapped to 0..1 so that the
 cut lies at CUT.
 """
@@ -21,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import partitions
 from .labelled import fold, training_rows
 
 FOLDS, HELD_OUT = 5, 0
@@ -29,6 +32,12 @@ CUT = 0.3
 #: Rows that the classifier is fitted on, and pairs drawn from them, at most.
 TRAINING_ROWS = 20_000
 PAIRS = 200_000
+#: Bytes whose trigrams are counted at once.
+PIECE = 1 << 20
+#: Buckets of words and of trigrams, and what their shares are multiplied by beside the measures.
+WORD_BUCKETS, GRAM_BUCKETS = 4096, 1024
+SHARES = 2.0
+#: Measures of form.
 NAMES = (
     "symbols", "bars", "shouts", "digits", "word_length", "distinct", "top_word", "follows_itself",
     "repeated_sentences", "repeated_lines", "plain_words", "log_words", "squeezed", "marked_words",
@@ -69,53 +78,128 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, values): square roots of the shares of the text's words and byte trigrams, trigrams after words."""
+    raw = (text or "").lower().encode("utf-8", "replace")
+    words = raw.split()
+    if not words:
+        return np.zeros(0, np.uint16), np.zeros(0, np.float16)
+    found = Counter(words)
+    at = np.fromiter(map(zlib.crc32, found), np.int64, len(found)) % WORD_BUCKETS
+    by_word = np.bincount(at, weights=np.fromiter(found.values(), float, len(found)), minlength=WORD_BUCKETS) / len(words)
+    b = np.frombuffer(raw, np.uint8)
+    by_gram = np.zeros(GRAM_BUCKETS)
+    for k in range(0, len(b) - 2, PIECE):  # a very long text goes piece by piece
+        x = b[k : k + PIECE + 2].astype(np.uint32)
+        mixed = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761)
+        by_gram += np.bincount(mixed >> np.uint32(22), minlength=GRAM_BUCKETS)
+    both = np.sqrt(np.concatenate([by_word, by_gram / max(1, len(b) - 2)]))
+    used = np.flatnonzero(both)
+    return used.astype(np.uint16), both[used].astype(np.float16)
+
+
 @dataclass(frozen=True)
 class Ranker:
-    """weights over standardised features; score = sigmoid(slope * (strength - cut) + logit(CUT))."""
+    """weights over standardised measures and over shares; score = sigmoid(slope * (strength - cut) + logit(CUT))."""
 
-    mean: tuple[float, ...]
-    scale: tuple[float, ...]
-    weights: tuple[float, ...]
+    mean: np.ndarray
+    scale: np.ndarray
+    weights: np.ndarray
+    learnt: np.ndarray
     cut: float
     slope: float
 
-    def strength(self, rows: np.ndarray) -> np.ndarray:
-        z = np.clip((rows - np.array(self.mean)) / np.array(self.scale), -8, 8)
-        return z @ np.array(self.weights)
+    def strength(self, measures: np.ndarray, learnt: np.ndarray) -> np.ndarray:
+        """From rows of measures, and what the shares of each row add up to."""
+        return np.clip((measures - self.mean) / self.scale, -8, 8) @ self.weights + learnt
+
+    def of_shares(self, text: str | None) -> float:
+        buckets, values = shares(text)
+        return float(self.learnt[buckets] @ values.astype(float))
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        t = self.slope * (self.strength(rows) - self.cut) + math.log(CUT / (1 - CUT))
+    def score(self, texts: list[str | None]) -> np.ndarray:
+        measures = np.array([features(t) for t in texts], dtype=float).reshape(-1, len(NAMES))
+        learnt = np.array([self.of_shares(t) for t in texts], dtype=float)
+        t = self.slope * (self.strength(measures, learnt) - self.cut) + math.log(CUT / (1 - CUT))
         return 1 / (1 + np.exp(-np.clip(t, -30, 30)))
 
 
-def fit_pairs(differences: np.ndarray, ridge: float = 1e-3, steps: int = 50) -> np.ndarray:
-    """Bradley-Terry weights: mean logistic loss of the differences plus a ridge, by Newton steps."""
-    w = np.zeros(differences.shape[1])
+@dataclass(frozen=True)
+class Rows:
+    """Training rows: measures as a dense table, shares as flat lists with their bounds."""
+
+    measures: np.ndarray
+    bounds: np.ndarray
+    buckets: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.measures)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        k = self.measures.shape[1]
+        products = np.append(w[k:][self.buckets] * self.values, 0.0)
+        sums = np.add.reduceat(products, self.bounds[:-1]) if len(self) else np.zeros(0)
+        return self.measures @ w[:k] + np.where(self.bounds[1:] > self.bounds[:-1], sums, 0.0)
+
+    def weighted(self, g: np.ndarray, width: int) -> np.ndarray:
+        """The sum of the rows, each times its number."""
+        each = np.repeat(g, np.diff(self.bounds)) * self.values
+        return np.concatenate([g @ self.measures, np.bincount(self.buckets, weights=each, minlength=width)[:width]])
+
+
+def fit_pairs(rows: Rows, better: np.ndarray, worse: np.ndarray, width: int = WORD_BUCKETS + GRAM_BUCKETS, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
+    """Bradley-Terry weights: mean logistic loss of score differences plus a ridge, by limited-memory quasi-Newton steps."""
+    n = len(rows)
+
+    def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
+        s = rows.dot(w)
+        apart = s[better] - s[worse]
+        p = 1 / (1 + np.exp(np.clip(apart, -30, 30)))
+        g = (np.bincount(worse, weights=p, minlength=n) - np.bincount(better, weights=p, minlength=n)) / len(better)
+        return float(np.logaddexp(0, -apart).mean() + ridge / 2 * w @ w), rows.weighted(g, width) + ridge * w
+
+    w = np.zeros(rows.measures.shape[1] + width)
+    value, gradient = loss(w)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(differences @ w, -30, 30)))
-        gradient = -(differences * p[:, None]).mean(axis=0) + ridge * w
-        curve = (differences * (p * (1 - p))[:, None]).T @ differences / len(differences) + ridge * np.eye(len(w))
-        step = np.linalg.solve(curve, gradient)
-        w = w - step
-        if np.abs(step).max() < 1e-8:
+        step, taken = -gradient, []
+        for moved, changed in reversed(past):
+            share = moved @ step / (moved @ changed)
+            step = step - share * changed
+            taken.append(share)
+        if past:
+            step = step * (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1])
+        for (moved, changed), share in zip(past, reversed(taken), strict=True):
+            step = step + moved * (share - changed @ step / (moved @ changed))
+        size, slope = 1.0, gradient @ step
+        while True:
+            there, new = loss(w + size * step)
+            if there <= value + 1e-4 * size * slope or size < 1e-8:
+                break
+            size /= 2
+        moved, changed = size * step, new - gradient
+        w, value, gradient = w + moved, there, new
+        if moved @ changed > 1e-12:
+            past = [*past[-8:], (moved, changed)]
+        if np.abs(gradient).max() < 1e-5:
             break
     return w
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Ranker:
-    """A ranker from feature rows and 0/1 labels; neutral (every score above CUT) where a class is missing."""
+def fit(rows: Rows, labels: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Ranker:
+    """A ranker from training rows and 0/1 labels; neutral (every score above CUT) where a class is missing."""
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    k = len(NAMES)
+    k, width = len(NAMES), WORD_BUCKETS + GRAM_BUCKETS
     if not len(good) or not len(bad):
-        return Ranker((0.0,) * k, (1.0,) * k, (0.0,) * k, -1.0, 1.0)
-    mean, scale = rows.mean(axis=0), rows.std(axis=0)
+        return Ranker(np.zeros(k), np.ones(k), np.zeros(k), np.zeros(width), -1.0, 1.0)
+    mean, scale = rows.measures.mean(axis=0), rows.measures.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    z = np.clip((rows - mean) / scale, -8, 8)
+    standard = Rows(np.clip((rows.measures - mean) / scale, -8, 8), rows.bounds, rows.buckets, rows.values * np.float32(SHARES))
     rng = np.random.default_rng(seed)
     n = min(pairs, len(good) * len(bad))
-    a, b = rng.choice(good, n), rng.choice(bad, n)
-    w = fit_pairs(z[a] - z[b])
-    strength = z @ w
+    w = fit_pairs(standard, rng.choice(good, n), rng.choice(bad, n))
+    strength = standard.dot(w)
     # the quantile of all training scores that parts the classes best, classes weighed alike
     order = np.argsort(strength, kind="stable")
     worse = np.cumsum(labels[order] == 0) / len(bad)
@@ -125,34 +209,40 @@ def fit(rows: np.ndarray, labels: np.ndarray, pairs: int = PAIRS, seed: int = 7)
     at = int(best[len(best) // 2])
     cut = float(strength[order[at : at + 2]].mean())
     spread = float(np.median(np.abs(strength - cut))) or 1.0
-    return Ranker(tuple(mean), tuple(scale), tuple(w), cut, 3.0 / spread)
+    return Ranker(mean, scale, w[:k], w[k:] * SHARES, cut, 3.0 / spread)
 
 
-def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [features(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(rows, pa.list_(pa.float64()))], ["label", "f"])
+        texts = batch.column("text").to_pylist()
+        found = [shares(t) for t in texts]
+        measures = pa.array([features(t) for t in texts], pa.list_(pa.float64()))
+        packed = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), measures, *packed], ["label", "f", "buckets", "shares"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Ranker:
-    """Fits on at most TRAINING_ROWS labelled rows outside the held-out fold."""
-    sample = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, TRAINING_ROWS)
-    table = sample.mapInArrow(_feature_rows, "label int, f array<double>").toArrow()
-    if not table.num_rows:
-        return fit(np.zeros((0, len(NAMES))), np.zeros(0))
-    # rows arrive in any order: sort them, so that equal inputs give equal models
-    f = np.array(table.column("f").to_pylist(), dtype=float)
+    """Fits on at most TRAINING_ROWS labelled rows outside the held-out fold, some 2 kB each."""
+    sample = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, TRAINING_ROWS).select("text", "label")
+    sample = sample.repartition(partitions(docs.sparkSession))
+    table = sample.mapInArrow(_training, "label int, f array<double>, buckets binary, shares binary").toArrow()
+    f = np.array(table.column("f").to_pylist(), dtype=float).reshape(-1, len(NAMES))
     y = table.column("label").to_numpy()
-    order = np.lexsort((*f.T, y))
-    return fit(f[order], y[order])
+    buckets, values = table.column("buckets").to_pylist(), table.column("shares").to_pylist()
+    # rows arrive in any order: sort them, so that equal inputs give equal models
+    order = sorted(range(len(y)), key=lambda i: (buckets[i], values[i], y[i], f[i].tobytes()))
+    bounds = np.concatenate([[0], np.cumsum([len(buckets[i]) // 2 for i in order])]).astype(np.int64)
+    rows = Rows(f[order], bounds, np.frombuffer(b"".join(buckets[i] for i in order), np.uint16).astype(np.int32), np.frombuffer(b"".join(values[i] for i in order), np.float16).astype(np.float32))
+    y = y[order]
+    del table, buckets, values
+    return fit(rows, y)
 
 
 def _scores(ranker: Ranker):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            f = np.array([features(t) for t in batch.column("text").to_pylist()], dtype=float).reshape(-1, len(NAMES))
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ranker.score(f))], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(ranker.score(batch.column("text").to_pylist()))], [*keep, "score"])
 
     return rows
 
@@ -184,7 +274,6 @@ def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        f = np.array([features(t) for t in texts], dtype=float).reshape(-1, len(NAMES))
-        return pd.Series(ranker.score(f))
+        return pd.Series(ranker.score(texts.to_list()))
 
     return docs.withColumn("__score", of(F.col("text").cast("string"))).filter(F.col("__score") >= CUT).select(*docs.columns)

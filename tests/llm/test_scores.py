@@ -88,14 +88,72 @@ def test_quality_of_odd_tables(odd, odd_rows, empty, labels):
     assert kept.count() == sum(r.predicted for r in rows)
 
 
+def dense_rows(x, shares=None):
+    """Training rows of measures, and of a table of shares."""
+    shares = np.zeros((len(x), 1)) if shares is None else shares
+    at = [np.flatnonzero(r) for r in shares]
+    bounds = np.concatenate([[0], np.cumsum([len(a) for a in at])]).astype(np.int64)
+    return quality.Rows(np.asarray(x, float), bounds, np.concatenate([*at, np.zeros(0, int)]).astype(np.int32), np.concatenate([*[r[a] for r, a in zip(shares, at, strict=True)], np.zeros(0)]))
+
+
 def test_pairs_recover_the_direction():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
     y = (x[:, 0] + 0.3 * rng.normal(size=400) > -0.8).astype(int)
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
-    w = quality.fit_pairs(x[rng.choice(good, 5000)] - x[rng.choice(bad, 5000)])
+    w = quality.fit_pairs(dense_rows(x), rng.choice(good, 5000), rng.choice(bad, 5000), width=1)
     assert w[0] > 5 * abs(w[1:]).max()
-    assert quality.fit(np.zeros((3, len(quality.NAMES))), np.ones(3)).score(np.zeros((1, len(quality.NAMES))))[0] > quality.CUT
+    neutral = quality.fit(dense_rows(np.zeros((3, len(quality.NAMES)))), np.ones(3))
+    assert neutral.score([None, "a text"]).min() > quality.CUT
+
+
+def test_the_fit_is_the_least_loss():
+    """Against plain Newton steps on the differences of the pairs' whole rows; rows without any share among them."""
+    rng = np.random.default_rng(14)
+    x, shares = rng.normal(size=(60, 2)), rng.random((60, 7)) * (rng.random((60, 7)) < 0.4)
+    shares[::9] = 0
+    better, worse = rng.integers(0, 30, 500), rng.integers(25, 60, 500)
+    whole = np.concatenate([x, shares], axis=1)
+    d, w = whole[better] - whole[worse], np.zeros(9)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(d @ w))
+        w -= np.linalg.solve((d * (p * (1 - p))[:, None]).T @ d / 500 + 0.01 * np.eye(9), -(d * p[:, None]).mean(axis=0) + 0.01 * w)
+    assert quality.fit_pairs(dense_rows(x, shares), better, worse, width=7, ridge=0.01, steps=300) == pytest.approx(w, abs=2e-3)
+
+
+def test_shares_are_of_the_whole_text(monkeypatch):
+    text = "Ab cd ab, éé " * 400
+    buckets, values = quality.shares(text)
+    raw = text.lower().encode()
+    grams = Counter(raw[i : i + 3] for i in range(len(raw) - 2))
+    mine = {int(b): float(v) for b, v in zip(buckets, values, strict=True)}
+    assert sum(v * v for b, v in mine.items() if b < quality.WORD_BUCKETS) == pytest.approx(1, abs=0.01)
+    want = Counter()
+    for g, n in grams.items():
+        want[quality.WORD_BUCKETS + ((int.from_bytes(g, "big") * 2654435761 & 0xFFFFFFFF) >> 22)] += n / (len(raw) - 2)
+    assert {b: v * v for b, v in mine.items() if b >= quality.WORD_BUCKETS} == pytest.approx(dict(want), rel=0.01)
+    monkeypatch.setattr(quality, "PIECE", 100)
+    again = quality.shares(text)
+    assert (again[0] == buckets).all() and (again[1] == values).all()
+    assert all(len(x) == 0 for t in (None, "", " \n") for x in quality.shares(t))
+
+
+def test_words_that_the_measures_do_not_see_are_learnt(spark):
+    """Good and bad texts that differ in a few words only."""
+    from .conftest import words
+
+    rng = random.Random(41)
+    rows, graded = [], []
+    for i in range(400):
+        text = words(rng, 60).split()
+        bad = i % 3 == 0
+        for _ in range(6):
+            text[rng.randrange(60)] = rng.choice(["meadowa", "harbourb", "valleyc"] if bad else ["summita", "islandb", "forestc"])
+        rows.append((i, " ".join(text), "s"))
+        graded.append((i, int(not bad), 0))
+    docs = make(spark, rows)
+    found = quality.score(docs, quality.train(docs, spark.createDataFrame(graded, "doc_id long, quality int, toxic int"))).filter("held_out").collect()
+    assert sum(r.predicted == int(r.doc_id % 3 != 0) for r in found) > 0.95 * len(found)
 
 
 # --- toxicity ----------------------------------------------------------------
