@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import partitions
+from .common import partitions, text_key
 from .labelled import fold, training_rows
 
 FOLDS, HELD_OUT = 5, 0
@@ -32,10 +32,12 @@ CUT = 0.3
 #: Rows that the classifier is fitted on, and pairs drawn from them, at most.
 TRAINING_ROWS = 20_000
 PAIRS = 200_000
+#: Training rows whose shares are multiplied out at once.
+ROWS_AT_ONCE = 1000
 #: Bytes whose trigrams are counted at once.
 PIECE = 1 << 20
 #: Buckets of words and of trigrams, and what their shares are multiplied by beside the measures.
-WORD_BUCKETS, GRAM_BUCKETS = 4096, 1024
+WORD_BUCKETS, GRAM_BUCKETS = 4096, 512
 SHARES = 2.0
 #: Measures of form.
 NAMES = (
@@ -92,7 +94,7 @@ def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     for k in range(0, len(b) - 2, PIECE):  # a very long text goes piece by piece
         x = b[k : k + PIECE + 2].astype(np.uint32)
         mixed = (x[:-2] << np.uint32(16) | x[1:-1] << np.uint32(8) | x[2:]) * np.uint32(2654435761)
-        by_gram += np.bincount(mixed >> np.uint32(22), minlength=GRAM_BUCKETS)
+        by_gram += np.bincount(mixed >> np.uint32(23), minlength=GRAM_BUCKETS)
     both = np.sqrt(np.concatenate([by_word, by_gram / max(1, len(b) - 2)]))
     used = np.flatnonzero(both)
     return used.astype(np.uint16), both[used].astype(np.float16)
@@ -126,7 +128,11 @@ class Ranker:
 
 @dataclass(frozen=True)
 class Rows:
-    """Training rows: measures as a dense table, shares as flat lists with their bounds."""
+    """Training rows: measures as a dense table, shares as flat lists with their bounds.
+
+    Shares stay as small as they came, four bytes each, and are multiplied out
+    some rows at a time, as they are what takes the driver's memory.
+    """
 
     measures: np.ndarray
     bounds: np.ndarray
@@ -136,16 +142,28 @@ class Rows:
     def __len__(self) -> int:
         return len(self.measures)
 
+    def _pieces(self) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """(rows, their bounds from 0, buckets, values), some rows at a time."""
+        for at in range(0, len(self), ROWS_AT_ONCE):
+            own = slice(at, min(len(self), at + ROWS_AT_ONCE))
+            bounds = self.bounds[own.start : own.stop + 1]
+            flat = slice(bounds[0], bounds[-1])
+            yield own, bounds - bounds[0], self.buckets[flat], self.values[flat].astype(float) * SHARES
+
     def dot(self, w: np.ndarray) -> np.ndarray:
         k = self.measures.shape[1]
-        products = np.append(w[k:][self.buckets] * self.values, 0.0)
-        sums = np.add.reduceat(products, self.bounds[:-1]) if len(self) else np.zeros(0)
-        return self.measures @ w[:k] + np.where(self.bounds[1:] > self.bounds[:-1], sums, 0.0)
+        out = self.measures @ w[:k]
+        for own, bounds, buckets, values in self._pieces():
+            sums = np.add.reduceat(np.append(w[k:][buckets] * values, 0.0), bounds[:-1])
+            out[own] += np.where(bounds[1:] > bounds[:-1], sums, 0.0)
+        return out
 
     def weighted(self, g: np.ndarray, width: int) -> np.ndarray:
         """The sum of the rows, each times its number."""
-        each = np.repeat(g, np.diff(self.bounds)) * self.values
-        return np.concatenate([g @ self.measures, np.bincount(self.buckets, weights=each, minlength=width)[:width]])
+        total = np.zeros(width)
+        for own, bounds, buckets, values in self._pieces():
+            total += np.bincount(buckets, weights=np.repeat(g[own], np.diff(bounds)) * values, minlength=width)
+        return np.concatenate([g @ self.measures, total])
 
 
 def fit_pairs(rows: Rows, better: np.ndarray, worse: np.ndarray, width: int = WORD_BUCKETS + GRAM_BUCKETS, ridge: float = 1e-3, steps: int = 60) -> np.ndarray:
@@ -195,7 +213,7 @@ def fit(rows: Rows, labels: np.ndarray, pairs: int = PAIRS, seed: int = 7) -> Ra
         return Ranker(np.zeros(k), np.ones(k), np.zeros(k), np.zeros(width), -1.0, 1.0)
     mean, scale = rows.measures.mean(axis=0), rows.measures.std(axis=0)
     scale = np.where(scale > 1e-9, scale, 1.0)
-    standard = Rows(np.clip((rows.measures - mean) / scale, -8, 8), rows.bounds, rows.buckets, rows.values * np.float32(SHARES))
+    standard = Rows(np.clip((rows.measures - mean) / scale, -8, 8), rows.bounds, rows.buckets, rows.values)
     rng = np.random.default_rng(seed)
     n = min(pairs, len(good) * len(bad))
     w = fit_pairs(standard, rng.choice(good, n), rng.choice(bad, n))
@@ -216,26 +234,34 @@ def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
         found = [shares(t) for t in texts]
-        measures = pa.array([features(t) for t in texts], pa.list_(pa.float64()))
-        packed = [pa.array([f[i].tobytes() for f in found], pa.binary()) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), measures, *packed], ["label", "f", "buckets", "shares"])
+        measures = [np.array(features(t)).tobytes() for t in texts]
+        packed = [pa.array(x, pa.binary()) for x in (measures, *([f[i].tobytes() for f in found] for i in (0, 1)))]
+        yield pa.RecordBatch.from_arrays([batch.column("label"), batch.column("k1"), batch.column("k2"), *packed], ["label", "k1", "k2", "measures", "buckets", "shares"])
+
+
+def _bytes(column: pa.Array, kind: type) -> np.ndarray:
+    """The values of a binary array, one row after the other."""
+    _, ends, data = column.buffers()
+    if data is None or not len(column):
+        return np.zeros(0, kind)
+    at = np.frombuffer(ends, np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(kind)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Ranker:
     """Fits on at most TRAINING_ROWS labelled rows outside the held-out fold, some 2 kB each."""
-    sample = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, TRAINING_ROWS).select("text", "label")
+    sample = training_rows(docs, labels, "quality", FOLDS, HELD_OUT, TRAINING_ROWS).select("text", "label", *text_key())
     sample = sample.repartition(partitions(docs.sparkSession))
-    table = sample.mapInArrow(_training, "label int, f array<double>, buckets binary, shares binary").toArrow()
-    f = np.array(table.column("f").to_pylist(), dtype=float).reshape(-1, len(NAMES))
-    y = table.column("label").to_numpy()
-    buckets, values = table.column("buckets").to_pylist(), table.column("shares").to_pylist()
+    table = sample.mapInArrow(_training, "label int, k1 long, k2 long, measures binary, buckets binary, shares binary").toArrow().combine_chunks()
     # rows arrive in any order: sort them, so that equal inputs give equal models
-    order = sorted(range(len(y)), key=lambda i: (buckets[i], values[i], y[i], f[i].tobytes()))
-    bounds = np.concatenate([[0], np.cumsum([len(buckets[i]) // 2 for i in order])]).astype(np.int64)
-    rows = Rows(f[order], bounds, np.frombuffer(b"".join(buckets[i] for i in order), np.uint16).astype(np.int32), np.frombuffer(b"".join(values[i] for i in order), np.float16).astype(np.float32))
-    y = y[order]
-    del table, buckets, values
-    return fit(rows, y)
+    y, k1, k2 = (table.column(c).to_numpy() for c in ("label", "k1", "k2"))
+    order = np.lexsort((y, k2, k1))
+    columns = [table.column(c).combine_chunks().take(pa.array(order)) for c in ("measures", "buckets", "shares")]
+    del table
+    sizes = [len(x) // 2 for x in columns[1].to_pylist()]
+    bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    measures, buckets, values = (_bytes(c, kind) for c, kind in zip(columns, (np.float64, np.uint16, np.float16), strict=True))
+    return fit(Rows(measures.reshape(-1, len(NAMES)), bounds, buckets, values), y[order])
 
 
 def _scores(ranker: Ranker):

@@ -107,8 +107,10 @@ def test_pairs_recover_the_direction():
     assert neutral.score([None, "a text"]).min() > quality.CUT
 
 
-def test_the_fit_is_the_least_loss():
+def test_the_fit_is_the_least_loss(monkeypatch):
     """Against plain Newton steps on the differences of the pairs' whole rows; rows without any share among them."""
+    monkeypatch.setattr(quality, "ROWS_AT_ONCE", 7)
+    monkeypatch.setattr(quality, "SHARES", 1.0)
     rng = np.random.default_rng(14)
     x, shares = rng.normal(size=(60, 2)), rng.random((60, 7)) * (rng.random((60, 7)) < 0.4)
     shares[::9] = 0
@@ -130,7 +132,7 @@ def test_shares_are_of_the_whole_text(monkeypatch):
     assert sum(v * v for b, v in mine.items() if b < quality.WORD_BUCKETS) == pytest.approx(1, abs=0.01)
     want = Counter()
     for g, n in grams.items():
-        want[quality.WORD_BUCKETS + ((int.from_bytes(g, "big") * 2654435761 & 0xFFFFFFFF) >> 22)] += n / (len(raw) - 2)
+        want[quality.WORD_BUCKETS + ((int.from_bytes(g, "big") * 2654435761 & 0xFFFFFFFF) >> 23)] += n / (len(raw) - 2)
     assert {b: v * v for b, v in mine.items() if b >= quality.WORD_BUCKETS} == pytest.approx(dict(want), rel=0.01)
     monkeypatch.setattr(quality, "PIECE", 100)
     again = quality.shares(text)
