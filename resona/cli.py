@@ -1,4 +1,4 @@
-"""Command lines: score, analyse, evaluate, catalogue, blend."""
+"""Command lines: score, analyse, evaluate, submit, blend, train, train-early, fingerprints, catalogue, update-manifest, assets."""
 
 from __future__ import annotations
 
@@ -59,6 +59,48 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--embed", default="resona.operators.detectors:Spectrum")
     p.add_argument("--cache")
 
+    p = sub.add_parser("submit", help="score a test directory's WAV files whole, blend with another table if given")
+    p.add_argument("--test-dir", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--model-dir")
+    p.add_argument("--asset", action="append", default=[], help="a file that the model directory must hold")
+    p.add_argument("--scorer", default="spectral-flatness")
+    p.add_argument("--xgb-tsv")
+    p.add_argument("--ensemble-weight", type=float, default=0.7)
+
+    p = sub.add_parser("train-early", help="embeddings, a logistic model on them and a score file of a test directory")
+    p.add_argument("--manifest", required=True)
+    p.add_argument("--data-root", required=True)
+    p.add_argument("--test-dir", required=True)
+    p.add_argument("--output", required=True)
+    p.add_argument("--cache", required=True)
+    p.add_argument("--prefix", default="")
+    p.add_argument("--val-fold", type=int, default=0)
+    p.add_argument("--sample-per-gen", type=int, default=0)
+    p.add_argument("--sample-real", type=int, default=0)
+    p.add_argument("--embed", default="resona.operators.detectors:Spectrum")
+    p.add_argument("--extract-only", action="store_true")
+    p.add_argument("--train-only", action="store_true")
+
+    p = sub.add_parser("fingerprints", help="fingerprints of a manifest's sources, and the scores of one fold")
+    p.add_argument("--manifest", required=True)
+    p.add_argument("--data-root", required=True)
+    p.add_argument("--output", required=True, help="Parquet table of the fingerprints")
+    p.add_argument("--prefix", default="")
+    p.add_argument("--fold", type=int, default=0)
+    p.add_argument("--scores", help="score table of the fold")
+
+    p = sub.add_parser("catalogue", help="manifest of synthetic recordings by generator and of real corpora")
+    p.add_argument("output")
+    p.add_argument("--synthetic", required=True, help="directory of generator/[speaker/]file")
+    p.add_argument("--generators", required=True, help="names in the order of their folds, comma separated")
+    p.add_argument("--accent-generator")
+    p.add_argument("--real", action="append", default=[], metavar="NAME=DIRECTORY")
+
+    p = sub.add_parser("assets", help="whether a model directory holds its files")
+    p.add_argument("directory")
+    p.add_argument("file", nargs="+")
+
     p = sub.add_parser("update-manifest", help="append new files to a manifest")
     p.add_argument("manifest")
     p.add_argument("directory")
@@ -121,6 +163,38 @@ def _run(args: argparse.Namespace, spark: SparkSession) -> int:
         if not args.test_dir and not args.no_val:
             print(", ".join(f"{k}: {v}" for k, v in training.evaluate(scores).items()))
         training.write_scores(scores, args.output_prefix)
+    elif args.command == "submit":
+        rows = scoring.submit(spark, args.test_dir, args.output, args.scorer, args.model_dir, tuple(args.asset), args.xgb_tsv, args.ensemble_weight)
+        print(f"{rows.count()} files to {args.output}")
+    elif args.command == "train-early":
+        from .operators import training
+
+        config = training.TrainingConfig(
+            args.manifest, args.data_root, args.prefix, args.val_fold, max_real=args.sample_real, embed=args.embed, cache=args.cache,
+            max_fake=args.sample_per_gen * tables.read_manifest(spark, args.manifest).filter("label = 'spoof'").select("generator").distinct().count(),
+        )
+        found = training.early_pipeline(spark, config, args.test_dir, args.output, args.extract_only, args.train_only)
+        print("embeddings kept" if found is None else ", ".join(f"{k}: {v}" for k, v in found.items()))
+    elif args.command == "fingerprints":
+        from .operators import fingerprints
+        from .sources.paths import remap
+
+        rows = tables.read_manifest(spark, args.manifest).withColumn("path", remap("path", args.prefix, args.data_root))
+        fingerprints.build_from_manifest(spark, rows.filter(F.col("fold") != args.fold), args.data_root).write.mode("overwrite").parquet(args.output)
+        scores, found = fingerprints.evaluate_on_manifest(spark, rows, spark.read.parquet(args.output), args.data_root, args.fold)
+        print(", ".join(f"{k}: {v}" for k, v in found.items()))
+        if args.scores:
+            sinks.write_tsv(scores.select(F.col("file_id").alias("filename"), "score"), args.scores)
+    elif args.command == "catalogue":
+        real = [manifest.real_rows(manifest.files_of(spark, where), name, manifest.leading_speaker) for name, _, where in (r.partition("=") for r in args.real)]
+        synthetic = manifest.synthetic_rows(manifest.files_of(spark, args.synthetic), args.generators.split(","), args.accent_generator)
+        rows = (manifest.build(synthetic, real) if real else synthetic).cache()
+        rows.withColumn("_p", F.col("path")).orderBy("_p").drop("_p").coalesce(1).write.mode("overwrite").csv(args.output, header=True)
+        for (label, generator), n in sorted(manifest.counts(rows).items()):
+            print(f"{label} {generator}: {n}")
+    elif args.command == "assets":
+        scoring.require_assets(args.directory, tuple(args.file))
+        print("complete")
     else:
         old = tables.read_manifest(spark, args.manifest)
         new = manifest.real_rows(manifest.files_of(spark, args.directory), "extra")

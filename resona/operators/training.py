@@ -7,10 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import AssetError
 from ..sources import files, sinks, tables
 from ..sources.paths import basename, remap
 from . import detectors, learning, metrics
 from .sampling import capped_per_group, sample_rows, split_by_fold
+from .learning import expand
 from .validate import label_code
 
 
@@ -51,7 +53,7 @@ def sample_manifest(rows: DataFrame, max_fake: int = 0, max_real: int = 0, seed:
     return fake.select(*rows.columns).unionByName(real.select(*rows.columns))
 
 
-def waveforms(spark: SparkSession, rows: DataFrame, root: str, max_seconds: float) -> DataFrame:
+def waveforms(spark: SparkSession, rows: DataFrame, root: str, max_seconds: float | None) -> DataFrame:
     """Decoded audio of the manifest's files below ``root``; what cannot be decoded has null samples.
 
     The folder is read once and its files meet the manifest's paths in a join,
@@ -150,3 +152,35 @@ def train_and_evaluate(training: DataFrame, validation: DataFrame, columns: list
     """The early pipeline: unscaled logistic regression and its accuracy and AUC on the validation rows."""
     model = learning.Logistic(scaled=False).fit(training, columns)
     return model, evaluate(model.score(validation))
+
+
+def early_features(spark: SparkSession, rows: DataFrame, config: TrainingConfig, name: str, root: str | None = None, cached_only: bool = False) -> DataFrame:
+    """file_id, label and embedding of the files, kept in the cache; with ``cached_only`` what an earlier run has kept."""
+    if not config.cache:
+        raise AssetError("the early pipeline keeps its embeddings in a cache")
+
+    def make(inputs: DataFrame) -> DataFrame:
+        if cached_only:
+            raise AssetError(f"no cached embeddings for {name}: extract them first")
+        return clip_embeddings(waveforms(spark, inputs, root or config.data_root, config.max_seconds).drop("error"), config.embed)
+
+    kept = sinks.FeatureCache(spark, config.cache).get(f"early-{name}", {"embed": config.embed, "seconds": config.max_seconds}, rows, "path", make)
+    labels = rows.select(basename("path").alias("file_id"), F.coalesce(label_code("label").cast("int"), F.lit(-1)).alias("label"))
+    return kept.withColumn("file_id", basename("file_id")).join(labels, "file_id")
+
+
+def early_pipeline(spark: SparkSession, config: TrainingConfig, test_dir: str, output: str, extract_only: bool = False, train_only: bool = False) -> dict | None:
+    """Embeddings of training, validation and test files, then a logistic model on them and a score file of the test files.
+
+    ``extract_only`` stops once the embeddings are kept; ``train_only`` starts from those of an earlier run.
+    """
+    train, val = load_manifest(spark, config)
+    parts = (("train", train, None), ("val", val, None), ("test", files.test_files(spark, test_dir), test_dir))
+    kept = {name: early_features(spark, rows, config, name, root, train_only) for name, rows, root in parts}
+    if extract_only:
+        return None
+    width = kept["train"].agg(F.max(F.size("embedding"))).first()[0] or 0
+    wide = {name: expand(rows, "embedding", width, "e") for name, rows in kept.items()}
+    model, found = train_and_evaluate(wide["train"][0].filter("label >= 0"), wide["val"][0], wide["train"][1])
+    sinks.write_tsv(model.score(wide["test"][0]).select(F.col("file_id").alias("filename"), "score"), output)
+    return found
