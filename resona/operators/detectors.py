@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..errors import AnalysisError
 from ..functions import cepstral, mains, novelty, residual, splice
+from ..functions.udfs import SPLICE_FEATURES
 from ..schema import NOVELTY, SPLICE
 
-SPLICE_FEATURES = ("splice_max_score", "splice_n_candidates", "splice_max_timbre", "splice_max_level_db", "splice_max_transient", "splice_max_frequency_hz")
 NOVELTY_FEATURES = ("novelty_max", "novelty_top3_mean", "novelty_p95", "novelty_n_peaks")
 
 

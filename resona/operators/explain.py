@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame
@@ -96,8 +97,20 @@ def reply_text(payload: Mapping[str, Any]) -> str:
     return text
 
 
-def explain(analysis: Mapping[str, Any], transport: Callable[[str, float], Mapping[str, Any]] | None = None, question: str | None = None) -> str:
-    """Sends the record through ``transport(prompt, timeout)``, which the caller supplies; nothing is sent without one."""
+@dataclass(frozen=True)
+class Reply:
+    """What a service says of an analysis."""
+
+    text: str
+    model: str
+    response_id: str | None = None
+
+
+def explain(analysis: Mapping[str, Any], transport: Callable[[str, float], Mapping[str, Any]] | None = None, question: str | None = None, model: str = "") -> Reply:
+    """Sends the record through ``transport(prompt, timeout)``, which the caller supplies; nothing is sent without one.
+
+    The reply names the model that it says it comes from, or else ``model``.
+    """
     if transport is None:
         raise ServiceNotConfigured("no transport is configured")
     text = prompt(analysis, question) if question else prompt(analysis)
@@ -105,4 +118,5 @@ def explain(analysis: Mapping[str, Any], transport: Callable[[str, float], Mappi
         payload = transport(text, TIMEOUT)
     except Exception as e:
         raise ServiceError(str(e)[:ERROR_CHARS]) from e
-    return reply_text(payload)
+    named, known = payload.get("model"), payload.get("id")
+    return Reply(reply_text(payload), named if isinstance(named, str) and named else model, known if isinstance(known, str) else None)

@@ -12,7 +12,7 @@ from ..sources import manifest as M
 from ..sources import sinks, tables
 from ..streaming import windows as stream
 from . import standins as S
-from .catalogue import _SUMMARY, _min_dcf_sql, query, rounded, with_views
+from .catalogue import _SUMMARY, _curve_sql, _min_dcf_sql, query, rounded, with_views
 
 
 def _csv(rows: DataFrame, name: str, sep: str = ",") -> str:
@@ -209,3 +209,21 @@ def streamed_top3_mean(spark: SparkSession, d: str) -> DataFrame:
     scores = _stream(spark, d).select("user_id", F.least(F.lit(1.0), F.col("value") / F.lit(500.0)).alias("score"))
     updates = _drained(spark, stream.running_top3(scores, "user_id"), "update")
     return rounded(updates.groupBy("user_id").agg(F.max_by("top3_mean", "batch").alias("top3_mean"), F.max("n").alias("n")), "top3_mean")
+
+
+@query(with_views("""SELECT CAST(seq AS VARCHAR) AS file_id, idx AS frame_idx, round(1 - list_cosine_similarity(lag(e) OVER o, e), 6) AS change FROM frames WINDOW o AS (PARTITION BY seq ORDER BY idx) QUALIFY idx > 0""", "frames"))
+def streamed_changes(spark: SparkSession, d: str) -> DataFrame:
+    """How far each frame of a stream is from the one before, frames arriving in four batches."""
+    frames = S.frames(spark, d).select(F.col("seq").cast("string").alias("file_id"), F.col("idx").alias("frame_idx"), F.col("e").alias("embedding"))
+    folder = scratch(spark, "frames")
+    for part in range(4):  # one file a batch, in order
+        frames.filter(F.floor(F.col("frame_idx") / 13) == part).coalesce(1).write.mode("append").parquet(folder)
+    arriving = spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return rounded(_drained(spark, stream.running_change(arriving), "append").drop("batch"), "change")
+
+
+@query(with_views(f"""WITH {_curve_sql((2, 4))} SELECT CAST(f.seq AS VARCHAR) AS file_id, f.idx AS b, round(coalesce(max(novelty), 0.0), 6) AS novelty FROM frames f LEFT JOIN curve c ON c.seq = f.seq AND c.b = f.idx GROUP BY f.seq, f.idx""", "frames"))
+def sql_novelty(spark: SparkSession, d: str) -> DataFrame:
+    udfs.register(spark)
+    rows = S.frames(spark, d).groupBy(F.col("seq").cast("string").alias("file_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("idx", "e"))), lambda x: x["e"]).alias("frames"))
+    return rounded(spark.sql("SELECT file_id, posexplode(novelty(frames)) AS (b, novelty) FROM {rows}", rows=rows), "novelty")

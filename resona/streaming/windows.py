@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,36 @@ def running_top3(stream: DataFrame, key: str = "file_id", score: str = "score")
     )
 
 
+def running_change(stream: DataFrame, key: str = "file_id", order: str = "frame_idx", vector: str = "embedding") -> DataFrame:
+    """(key, order, change) of each frame after a key's first: one less the cosine to the frame before.
+
+    The state of a key is its latest frame.  Frames of a batch are taken in
+    order; one that comes after a later one gives no row.
+    """
+    kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def update(k: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches)).sort_values(order)
+        at, before = state.get if state.exists else (None, None)
+        places, changes = [], []
+        for i, e in zip(pdf[order].tolist(), pdf[vector], strict=True):
+            if at is not None and i <= at:
+                continue
+            now = np.asarray(e, float)
+            if before is not None:
+                old = np.asarray(before, float)
+                length = float(np.linalg.norm(old) * np.linalg.norm(now))
+                places.append(i)
+                changes.append(1.0 - float(old @ now) / length if length else 0.0)
+            at, before = i, now
+        state.update((int(at), [float(x) for x in before]))
+        yield pd.DataFrame({key: [k[0]] * len(places), order: places, "change": changes})
+
+    rows = stream.select(key, order, F.transform(vector, lambda x: x.cast("double")).alias(vector))
+    schema = f"{key} {kinds[key]}, {order} {kinds[order]}, change double"
+    return rows.groupBy(key).applyInPandasWithState(update, schema, "at long, before array<double>", "append", GroupStateTimeout.NoTimeout)
+
+
 def landing_files(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = RUNNER_SUFFIXES) -> DataFrame:
     """Audio files as they land in a directory; scoring a file needs no state, so it is exact."""
     from ..sources import paths

@@ -315,7 +315,8 @@ def test_explanations(spark):
         at["x"] = {}
         at = at["x"]
     assert explain.bounded({"l": list(range(500)), "n": float("nan"), "d": deep})["n"] is None and len(explain.bounded(list(range(500)))) == 100
-    assert explain.explain({"file": "a"}, lambda p, t: {"output": [{"content": [{"text": " fine "}]}]}) == "fine"
+    assert explain.explain({"file": "a"}, lambda p, t: {"output": [{"content": [{"text": " fine "}]}]}, model="m") == explain.Reply("fine", "m")
+    assert explain.explain({"file": "a"}, lambda p, t: {"output_text": "so", "id": "r-1", "model": "m-2"}, model="m") == explain.Reply("so", "m-2", "r-1")
     with pytest.raises(ServiceNotConfigured):
         explain.explain({"file": "a"})
     for reply in ({}, {"output": []}):

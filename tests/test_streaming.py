@@ -24,6 +24,25 @@ def test_counts_with_lateness(spark, small, tmp_path):
     assert spark.table("session_rows").count() > 0
 
 
+def test_late_rows_are_left_out(spark, tmp_path):
+    """A row later than the watermark allows is dropped, one within it counts."""
+    schema = "ts timestamp_ntz, k string"
+    for part in ([("2024-05-01 10:00:00", "a"), ("2024-05-01 12:00:00", "a")], [("2024-05-01 12:00:00", "a")], [("2024-05-01 10:05:00", "late"), ("2024-05-01 11:55:00", "in time"), ("2024-05-01 14:00:00", "a")], [("2024-05-01 16:00:00", "a")]):
+        rows = spark.createDataFrame(part, "t string, k string").select(F.col("t").cast("timestamp_ntz").alias("ts"), "k")
+        rows.coalesce(1).write.mode("append").parquet(str(tmp_path / "late"))
+    stream = windows.event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "late")), lateness="10 minutes")
+    run(windows.tumbling(stream, "1 hour", "k"), "append", "late_rows", tmp_path)
+    assert {r.k: r.n for r in spark.table("late_rows").filter("k <> 'a'").collect()} == {"in time": 1}
+
+
+def test_frames_out_of_order_give_no_change(spark, tmp_path):
+    for part in ([("f", 1, [1.0, 0.0]), ("f", 0, [0.0, 2.0]), ("g", 0, [0.0, 0.0])], [("f", 3, [2.0, 0.0]), ("f", 1, [0.0, 1.0]), ("g", 4, [1.0, 1.0])]):
+        spark.createDataFrame(part, "file_id string, frame_idx long, embedding array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "frames"))
+    stream = spark.readStream.schema("file_id string, frame_idx long, embedding array<double>").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "frames"))
+    run(windows.running_change(stream), "append", "change_rows", tmp_path)
+    assert sorted(map(tuple, spark.table("change_rows").collect())) == [("f", 1, 1.0), ("f", 3, 0.0), ("g", 4, 0.0)]
+
+
 def test_running_top3(spark, tmp_path):
     for i, rows in enumerate(([("a", 0.1), ("a", 0.9), ("b", 0.5)], [("a", 0.8), ("a", 0.7)])):
         spark.createDataFrame(rows, "file_id string, score double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
