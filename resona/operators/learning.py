@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -20,6 +23,8 @@ from .validate import check_cv_table, not_finite
 LOGISTIC = {"C": 1.0, "max_iter": 2000, "seed": 42}
 BOOSTED = {"maxDepth": 3, "maxIter": 200, "stepSize": 0.03, "minInstancesPerNode": 50, "seed": 42}
 BOOSTED_TRAINING = {"maxDepth": 6, "maxIter": 500, "stepSize": 0.05, "minInstancesPerNode": 1, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": 42}
+#: Rows that a partition of training rows holds at most, and folds that are fitted side by side.
+ROWS_OF_PARTITION, SIDE_BY_SIDE = 20_000, 4
 _P = "_probability"
 
 
@@ -82,7 +87,11 @@ class Boosted:
         self.assembler = VectorAssembler(inputCols=self.features, outputCol="_f")
         extra = {"weightCol": weight} if weight else {}
         trainer = GBTClassifier(featuresCol="_f", labelCol=label, predictionCol="_hit", **self.parameters, **extra)
-        self.model = trainer.fit(self.assembler.transform(rows.withColumn(label, F.col(label).cast("double"))))
+        # every round is a few jobs over all partitions: small tables need few
+        parts = max(1, -(-rows.count() // ROWS_OF_PARTITION))
+        kept = self.assembler.transform(rows.select(*self.features, F.col(label).cast("double").alias(label), *([weight] if weight else []))).coalesce(parts).cache()
+        self.model = trainer.fit(kept)
+        kept.unpersist()
         return self
 
     def score(self, rows: DataFrame, name: str = "score") -> DataFrame:
@@ -158,16 +167,18 @@ def cross_validate(table: DataFrame, model: str = "logistic", features: Sequence
     folds = [r["fold"] for r in rows.groupBy("fold").agg(F.min("file_id").alias("first")).orderBy("first").collect()]  # few by design
     if len(folds) < 2:
         raise FusionModelError("at least two folds are required")
-    parts, gains = None, []
-    for k in folds:
+
+    def fold_scores(k) -> tuple[DataFrame, dict[str, float] | None]:
         train, held = rows.filter(F.col("fold") != F.lit(k)), rows.filter(F.col("fold") == F.lit(k))
         if train.select("label").distinct().count() < 2:
             raise FusionModelError(f"training rows without fold {k!r} hold one class only")
         fitted = create_model(model).fit(train, chosen)
-        scored = fitted.score(held).select("file_id", "label", "fold", "score")
-        parts = scored if parts is None else parts.unionByName(scored)
-        if fitted.importance() is not None:
-            gains.append(fitted.importance())
+        return fitted.score(held).select("file_id", "label", "fold", "score"), fitted.importance()
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:  # a fit is many small jobs: folds fill each other's gaps
+        found = list(pool.map(inheritable_thread_target(rows.sparkSession)(fold_scores), folds))
+    parts = reduce(DataFrame.unionByName, (scored for scored, _ in found))
+    gains = [gain for _, gain in found if gain is not None]
     counted = parts.agg(F.count(F.lit(1)).alias("n"), F.count_if(~not_finite("score")).alias("finite"), F.count_distinct("file_id").alias("ids")).first()
     if not counted["n"] == counted["finite"] == counted["ids"] == rows.count():
         raise FusionModelError("a row has no finite out-of-fold score, or more than one")
