@@ -278,7 +278,8 @@ def _slope_taps(order: int) -> list[float]:
     return [float(dsp.slopes(row[None, :], order)[0, 0]) for row in np.eye(9)]
 
 
-@query(f"""WITH s AS (SELECT event_type AS g, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, value AS x FROM events), bins AS (SELECT unnest(generate_series(0, 256)) AS b),
+@query(f"""WITH e0 AS (SELECT event_type AS g, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n, value AS x FROM events),
+    s AS (SELECT g, unnest(generate_series(0, CAST(ceil(1600.0 / n) AS BIGINT) - 1)) * n + i AS i, x FROM e0), bins AS (SELECT unnest(generate_series(0, 256)) AS b),
     n AS (SELECT g, count(*) // 160 AS top FROM s GROUP BY g), t AS (SELECT g, top, unnest(generate_series(0, top)) AS f FROM n),
     w AS (SELECT s.g, f, i + 256 - 160 * f AS k, x * (0.5 - 0.5 * cos(2 * pi() * (i + 200 - 160 * f) / 400)) AS x FROM s JOIN t USING (g) WHERE i + 200 - 160 * f BETWEEN 0 AND 399),
     x AS (SELECT g, f, b, sum(x * cos(2 * pi() * b * k / 512)) AS re, sum(x * sin(2 * pi() * b * k / 512)) AS im FROM w, bins GROUP BY g, f, b),
@@ -291,8 +292,9 @@ def _slope_taps(order: int) -> list[float]:
       UNION ALL SELECT e.g, e.f, 40 + q, sum(c * tap) FROM e JOIN c ON c.g = e.g AND c.f BETWEEN mid - 4 AND mid + 4 JOIN two ON k = c.f - mid + 4 GROUP BY e.g, e.f, q)
     SELECT g AS file_id, q AS place, round(avg(v), 5) AS value FROM d GROUP BY g, q UNION ALL SELECT g, 60 + q, round(stddev_pop(v), 5) FROM d GROUP BY g, q""")
 def cepstral_statistics(spark: SparkSession, d: str) -> DataFrame:
-    """120 linear-frequency cepstral numbers of each event type's sequence."""
-    out = detectors.lfcc(_sequence(spark, d, "event_type")).select("file_id", F.posexplode("lfcc").alias("place", "value"))
+    """120 linear-frequency cepstral numbers of each event type's sequence, repeated whole up to 1600 samples or more."""
+    times = F.ceil(F.lit(1600) / F.size("samples")).cast("int")
+    out = detectors.lfcc(_sequence(spark, d, "event_type").withColumn("samples", F.flatten(F.array_repeat("samples", times)))).select("file_id", F.posexplode("lfcc").alias("place", "value"))
     return rounded(out.withColumn("place", F.col("place").cast("long")), "value", digits=5)
 
 
