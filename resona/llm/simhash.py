@@ -187,9 +187,20 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def copies(docs: DataFrame, words: int = nearcopies.WORDS, similarity: float = nearcopies.SIMILARITY) -> DataFrame:
-    """What ``classes`` gives, linked by the Jaccard similarity of shingles; fp is the node of the text's shingles."""
-    found = Stored(nearcopies.signatures(docs, words), "copies")
-    return _linked(found, Stored(nearcopies.links(docs, found.df, words, similarity), "copies-links"))
+    """What ``classes`` gives, linked by fingerprints as there and by the Jaccard similarity of shingles besides.
+
+    fp is the node of the text's shingles; a node hangs on the smallest node of
+    its fingerprint, and the links of the fingerprints are those nodes'.
+    """
+    found = Stored(nearcopies.signatures(docs, fingerprint, words), "copies")
+    marks = found.df.select("mark", "fp").distinct()
+    firsts = Stored(marks.groupBy("mark").agg(F.min("fp").alias("first")), "copies-marks").df
+    hung = marks.join(firsts, "mark").filter("fp <> first").select(F.col("fp").alias("u"), F.col("first").alias("v"))
+    near = links(firsts.select(F.col("mark").alias("fp")))
+    near = near.join(firsts.select(F.col("mark").alias("u"), F.col("first").alias("a")), "u").join(firsts.select(F.col("mark").alias("v"), F.col("first").alias("b")), "v")
+    known = Stored(hung.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v"))), "copies-prints")
+    release(docs.sparkSession)
+    return _linked(found, Stored(nearcopies.links(docs, found.df, known.df, words, similarity), "copies-links"))
 
 
 def _linked(prints: Stored, linked: Stored) -> DataFrame:

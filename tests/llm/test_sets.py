@@ -461,6 +461,47 @@ def test_near_copies_of_single_edits_are_one(spark):
     assert pairs > 150 and found == {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("at_once", [1 << 18, 2000])
+def test_large_groups_of_near_copies_lose_no_link(spark, monkeypatch, at_once):
+    monkeypatch.setattr(nearcopies, "AT_ONCE", at_once)
+    rng = random.Random(3)
+    base, rows = [f"w{rng.randrange(5000)}" for _ in range(110)], []
+    for i in range(400):  # copies of one text, some near to a few others only, in lists of hundreds
+        text = list(base)
+        for _ in range(rng.randint(2, 4)):
+            text[rng.randrange(len(text))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(text), "s"))
+    sets = {i: nearcopies.shingles(t) for i, t, _ in rows}
+    keys = {i: nearcopies.bands(s) for i, s in sets.items()}
+    least = {i: i for i in sets}
+
+    def find(i):
+        while least[i] != i:
+            i = least[i]
+        return i
+
+    for a in sets:
+        for b in range(a):
+            both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) and (keys[a] == keys[b]).any():
+                least[max(find(a), find(b))] = min(find(a), find(b))
+    found = {r.doc_id: r.component_id for r in simhash.copies(make(spark, rows)).collect()}
+    assert 1 < len({find(i) for i in sets}) < 400 and found == {i: find(i) for i in sets}
+
+
+def test_near_copies_keep_the_links_of_fingerprints(spark):
+    rng = random.Random(5)
+    base = [rng.choice("alpha beta gamma delta") + str(rng.randrange(9)) for _ in range(12)]
+    rows = [(i, " ".join(base * (30 + i)) + f" a{i} b{i} c{i} d{i}", "s") for i in range(6)] + [(50, "", "s"), (51, None, "s"), (52, " \n", "s")]
+    rows += [(100 + i, " ".join(f"w{rng.randrange(5000)}" for _ in range(60)), "s") for i in range(30)]
+    table = make(spark, rows)
+    prints = {r.doc_id: r.component_id for r in simhash.classes(table).collect()}
+    found = {r.doc_id: r.component_id for r in simhash.copies(table).collect()}
+    sets = {i: set(nearcopies.shingles(t).tolist()) for i, t, _ in rows}
+    assert len(sets[0] & sets[1]) < 0.8 * len(sets[0] | sets[1])  # the shingles alone do not link them
+    assert len({prints[i] for i in range(6)}) == 1 and found == prints
+
+
 def test_near_copies_of_odd_tables(spark, odd, empty):
     kept = simhash.one_of_each(odd, simhash.copies(odd))
     assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
