@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Stored, ranges, release, text_key
+from .common import Stored, lean, ranges, release, text_key
 from .components import components
 
 WORDS = 5
@@ -175,7 +175,7 @@ def signatures(docs: DataFrame, mark: Callable[[str | None], int], words: int =
     """doc_id, the text's key, fp (the node), the text's mark (a number), n (the node's shingles) and its bands."""
     slim = docs.select("doc_id", *text_key(), F.col("text").cast("string").alias("text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(_signatures(words, mark), f"doc_id {kind}, k1 long, k2 long, fp long, mark long, n long, bands array<long>")
+    return slim.mapInArrow(lean(_signatures(words, mark)), f"doc_id {kind}, k1 long, k2 long, fp long, mark long, n long, bands array<long>")
 
 
 def links(docs: DataFrame, found: DataFrame, known: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -183,14 +183,14 @@ def links(docs: DataFrame, found: DataFrame, known: DataFrame, words: int = WORD
     nodes = found.filter("n > 0").dropDuplicates(["fp"])
     postings = nodes.select("fp", "n", F.posexplode("bands").alias("band", "key"))
     lists = Stored(postings.groupBy("band", "key").agg(F.collect_list(F.struct("fp", "n")).alias("nodes")).filter(F.size("nodes") > 1), "copies-lists")
-    pairs = Stored(lists.df.select("nodes").mapInArrow(_pairs(similarity), "u long, v long").distinct(), "copies-pairs")
+    pairs = Stored(lists.df.select("nodes").mapInArrow(lean(_pairs(similarity), None), "u long, v long").distinct(), "copies-pairs")
     release(docs.sparkSession)
     members = lists.df.filter(F.size("nodes") > SHORT).select("band", "key", F.explode("nodes").alias("m")).select("band", "key", "m.fp", "m.n")
     needed = pairs.df.select(F.col("u").alias("fp")).union(pairs.df.select("v")).union(members.select("fp")).distinct()
     one = found.join(needed, "fp", "left_semi").groupBy("fp").agg(F.min(F.struct("k1", "k2")).alias("k")).select("fp", F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"))
     k1, k2 = text_key()
     texts = docs.select(F.col("text").cast("string").alias("text"), k1, k2).join(one, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")))
-    sets = Stored(texts.select("fp", "text").mapInArrow(_sets(words), "fp long, set array<long>").dropDuplicates(["fp"]), "copies-sets")
+    sets = Stored(texts.select("fp", "text").mapInArrow(lean(_sets(words)), "fp long, set array<long>").dropDuplicates(["fp"]), "copies-sets")
     a = sets.df.select(F.col("fp").alias("u"), F.col("set").alias("a"))
     b = sets.df.select(F.col("fp").alias("v"), F.col("set").alias("b"))
     both = F.size(F.array_intersect("a", "b"))

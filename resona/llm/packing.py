@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing
-from .common import Stored, partitions, piece_count, release, spread_rank, text_key
+from .common import HELD, Stored, lean, partitions, piece_count, release, spread_rank, text_key
 
 CAPACITY = 2048
 END_ID = 0
@@ -50,8 +50,6 @@ PARTS = {
     "truncation": None, "padding": None, "post_processor": None,
 }
 
-_ENCODERS: dict[str, Callable[[str], bytes]] = {}
-
 
 class _Memory:
     """A mapping of bounded size: what is used stays, what was not used lately goes."""
@@ -103,8 +101,9 @@ def encoder(path: str) -> Callable[[str], bytes]:
     form, case or spacing Python may see differently, and all texts under any
     other tokenizer, go through the tokenizer whole.
     """
-    if path in _ENCODERS:
-        return _ENCODERS[path]
+    held = HELD.setdefault(__name__, {})
+    if path in held:
+        return held[path]
     import re
 
     import regex
@@ -122,7 +121,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
         return np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     if not remembers_words(path):
-        _ENCODERS[path] = encode
+        held[path] = encode
         return encode
 
     def word(w: str) -> bytes:
@@ -156,7 +155,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
             found = [chunk(c) if ids is None else ids for c, ids in zip(pieces, found, strict=True)]
         return b"".join(found)
 
-    _ENCODERS[path] = whole
+    held[path] = whole
     return whole
 
 
@@ -433,7 +432,7 @@ def mixed_pieces(docs: DataFrame, weights: Mapping[str, float] | None = None, to
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     kind = pa.list_(pa.struct([("piece", pa.int32()), *[(c, pa.int64()) for c in PIECE[1:]]]))
     schema = f"doc_id {kinds['doc_id']}, source {kinds['source']}, k1 long, k2 long, cut array<struct<piece: int, start: long, length: long, ids_crc32: long>>"
-    cut = Stored(slim.mapInArrow(_documents(tokenizer or default_tokenizer(), capacity, kind), schema), "cut")
+    cut = Stored(slim.mapInArrow(lean(_documents(tokenizer or default_tokenizer(), capacity, kind), keeps=__name__), schema), "cut")
     placed = mixing.place(cut.df, weights).select("doc_id", "position", F.explode("cut").alias("p"))
     return placed.select("doc_id", *[f"p.{c}" for c in PIECE], "position")
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import nearcopies
-from .common import Stored, partitions, release, text_key
+from .common import Stored, lean, partitions, release, text_key
 from .components import components
 
 WORDS = 3
@@ -68,7 +68,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, the text's key and fp (the fingerprint's bits as a signed long) of each row."""
     slim = docs.select("doc_id", *text_key(), F.col("text").cast("string").alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(_fingerprints, f"doc_id {id_type}, k1 long, k2 long, fp long")
+    return slim.mapInArrow(lean(_fingerprints), f"doc_id {id_type}, k1 long, k2 long, fp long")
 
 
 def _byte_sets() -> list[tuple[int, int]]:
@@ -171,7 +171,7 @@ def links(prints: DataFrame) -> DataFrame:
         .select("fp", F.col("s.set").cast("byte").alias("byte_set"), F.col("fp").bitwiseAND(F.col("s.mask")).alias("bytes"))
     )
     lists = postings.groupBy("byte_set", "bytes").agg(F.collect_list("fp").alias("prints")).filter(F.size("prints") > 1)
-    return lists.select("prints").mapInArrow(_lists, "u long, v long").distinct()
+    return lists.select("prints").mapInArrow(lean(_lists, None), "u long, v long").distinct()
 
 
 def classes(docs: DataFrame) -> DataFrame:

@@ -12,10 +12,11 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
-from resona.llm import components, mixing, nearcopies, packing, search, sharding, simhash, substrings
+from resona.llm import common, components, mixing, nearcopies, packing, search, sharding, simhash, substrings
 
 from .conftest import make
 
@@ -502,6 +503,34 @@ def test_near_copies_keep_the_links_of_fingerprints(spark):
     assert len({prints[i] for i in range(6)}) == 1 and found == prints
 
 
+def test_workers_hand_their_memory_back():
+    def one(batches):
+        for batch in batches:
+            seen.append(batch.num_rows)
+            yield batch
+
+    seen = []
+    table = pa.table({"n": list(range(2 * common.ROWS_AT_ONCE + 5))})
+    common.HELD.update({"packing": {"path": 1}, "others": {"path": 2}})
+    got = pa.Table.from_batches(common.lean(one, keeps="packing")(iter(table.to_batches())))
+    assert got.equals(table) and max(seen) == common.ROWS_AT_ONCE and list(common.HELD) == ["packing"]
+    assert sum(b.num_rows for b in common.lean(one, None)(iter(table.to_batches()))) == len(table) == seen[-1] and not common.HELD
+
+
+def test_freed_memory_of_near_copies_does_not_stay(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(800)), "s") for i in range(9000)]
+    nearcopies.signatures(make(spark, rows).coalesce(1), simhash.fingerprint).write.format("noop").mode("overwrite").save()
+
+    def memory(batches):
+        list(batches)
+        mb = sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith(("Pss_Anon", "Pss_Shmem"))) / 1024
+        yield pa.RecordBatch.from_arrays([pa.array([mb])], ["mb"])
+
+    most = max(r.mb for r in spark.range(0, 64, 1, 16).mapInArrow(memory, "mb double").collect())
+    assert most < 90, most
+
+
 def test_near_copies_of_odd_tables(spark, odd, empty):
     kept = simhash.one_of_each(odd, simhash.copies(odd))
     assert kept.columns == odd.columns and 0 < kept.count() < odd.count()
