@@ -144,6 +144,23 @@ def test_lfcc_and_residual_sizes():
     assert r.shape == (257,) and abs(r[2:10]).max() < 1 and r[200:].min() > 20
 
 
+def test_lines_and_means_of_all_frames_at_once():
+    rng = np.random.default_rng(3)
+    x = np.arange(10, 513) / 10_000
+    for n in (503, 502):
+        y = rng.normal(size=(40, n))
+        half = n // 2
+        slope, level = cepstral._robust_lines(x[:n], y)
+        for row, s, m in zip(y, slope, level, strict=True):
+            one = np.median((row[half : 2 * half] - row[:half]) / (x[half : 2 * half] - x[:half]))
+            assert s == one and m == np.median(row - one * x[:n])
+    for size in (1, 5, 10):
+        got = [cepstral._averaged(y[:, :30], size, axis) for axis in (0, 1)]
+        assert np.allclose(got[0], cepstral._averaged(y[:, :30].T, size, 1).T)
+        plain = [y[3, max(0, i - (size - 1) // 2) : min(30, i + size // 2 + 1)].mean() for i in range(30)]
+        assert np.allclose(got[1][3], plain)
+
+
 def test_cpps():
     tone = (0.2 * np.sin(2 * np.pi * 220 * np.arange(R) / R)).astype(np.float32)
     noise = np.random.default_rng(0).normal(size=R)
