@@ -704,6 +704,28 @@ def test_empty_texts_fill_shards_by_rows(spark, monkeypatch):
     assert [(r.doc_id, r.rank) for r in search.top_k(df, search.every_hundredth(df)).collect()] == [(0, 1)]
 
 
+def test_alike_documents_share_blocks_and_tie_by_id(monkeypatch):
+    monkeypatch.setattr(search, "GROUPS", 8)
+    rng = random.Random(6)
+    kinds = [[f"{c}{i}" for i in range(20)] for c in "abcd"]
+    of = np.array([rng.randrange(4) for _ in range(1200)])
+    of[::40] = of[0]
+    texts = [" ".join(rng.sample(kinds[k], 12)) for k in of.tolist()]
+    for i in range(40, 1200, 40):
+        texts[i] = texts[0]
+    batch = pa.table({"doc_id": range(1200), "text": texts}).to_batches()
+    (out,) = search._index(iter(batch))
+    shard = search.Shard({c: out.column(c)[0].as_py() for c in out.schema.names if c != "ids"}, 12.0)
+    ids = np.array(out.column("ids")[0].as_py())
+    assert sorted(ids.tolist()) == list(range(1200))
+    blocks = [of[ids[at : at + search.BLOCK]] for at in range(0, 1200, search.BLOCK)]
+    assert sum(len(set(b.tolist())) == 1 for b in blocks) >= len(blocks) // 2
+    asked = np.array([search.term_hash(t) for t in texts[0].split()], np.int64)
+    docs, scores = shard.search(asked, np.ones(len(asked)), 10)
+    best = sorted(zip((-scores).tolist(), ids[docs].tolist(), strict=True))
+    assert [i for _, i in best] == list(range(0, 400, 40)) and len({s for s, _ in best}) == 1
+
+
 def test_pruning_changes_nothing(monkeypatch):
     rng = np.random.default_rng(2)
     n = 900
