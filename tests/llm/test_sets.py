@@ -517,6 +517,23 @@ def test_workers_hand_their_memory_back():
     assert sum(b.num_rows for b in common.lean(one, None)(iter(table.to_batches()))) == len(table) == seen[-1] and not common.HELD
 
 
+def test_workers_forget_what_another_stage_held(spark):
+    docs = make(spark, [(i, f"some words {i}", "s") for i in range(20)]).coalesce(1)
+    packing.mixed_pieces(docs).count()
+
+    def held(batches):
+        list(batches)
+        yield pa.RecordBatch.from_arrays([pa.array([len(common.HELD)])], ["n"])
+
+    count = lambda: sum(r.n for r in spark.range(0, 64, 1, 16).mapInArrow(held, "n long").collect())
+    common.HELD["here"] = {"lock": (i for i in ())}  # what the driver holds does not travel
+    assert count() > 0
+    for _ in range(3):
+        nearcopies.signatures(spark.range(64).selectExpr("id AS doc_id", "'one text' AS text").repartition(16), simhash.fingerprint).collect()
+    common.HELD.clear()
+    assert count() == 0
+
+
 def test_freed_memory_of_near_copies_does_not_stay(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(800)), "s") for i in range(9000)]
